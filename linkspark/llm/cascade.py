@@ -84,7 +84,7 @@ def build(universe: DataFrame, wanted: Iterable[str]) -> Cascade:
     if len(names) > MAX_LISTED:
         raise ValueError(f"more than {MAX_LISTED} listed keys; use semi_join")
     listing = spark.createDataFrame([(x,) for x in names], "key_ string")
-    inside = _keys(listing.select(hashes(F.col("key_"))).collect())
+    inside = _keys(universe.join(F.broadcast(listing), "key_", "left_semi").select(hashes(F.col("key_"))).collect())
     if not len(inside):
         return Cascade([])
     n = universe.count()
