@@ -65,7 +65,7 @@ class WordBpe:
         self._follows: dict[tuple[str, str], bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._word: dict[str, bytes] = {}
-        self._piece: dict[str, bytes] = {}
+        self._piece: dict = {}
 
     # -- merging of a few symbols, for the tests that the walk needs ------------------
 
@@ -215,9 +215,11 @@ class WordBpe:
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        known = self._piece
+        known: dict = self._piece
         if len(known) > self.max_cached:
             known.clear()
+        for k in self.special.values():
+            known[k] = np.array([k], "<u4").tobytes()
         cut: list[list] = []
         for text in texts:
             parts: list = []
@@ -228,10 +230,8 @@ class WordBpe:
                     part = self.normal(part)
                     parts += [p for p in UNICODE_SPACE.split(part) if p] if ODD_SPACE.search(part) else part.split()
             cut.append(parts)
-        if new := list({p for parts in cut for p in parts if p not in known and p.__class__ is str}):
+        if new := list(set().union(*cut).difference(known)):
             known.update(zip(new, self.encode_pieces(new), strict=True))
-        for k in self.special.values():
-            known[k] = np.array([k], "<u4").tobytes()  # type: ignore[index]
         return [b"".join([known[p] for p in parts]) for parts in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -241,7 +241,7 @@ class WordBpe:
 
 
 class LibraryBpe(WordBpe):
-    """The same, with each distinct word encoded by the tokenizers library."""
+    """The same, with each distinct word encoded by the library's own model."""
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
         import os
@@ -255,10 +255,8 @@ class LibraryBpe(WordBpe):
         self.library.no_truncation()
 
     def _new_words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(words), 1000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words[k : k + 1000], add_special_tokens=False)]
-        return out
+        tokenize, symbols = self.library.model.tokenize, self._symbols
+        return [np.array([t.id for t in tokenize(symbols(w))], "<u4").tobytes() for w in words]
 
 
 _CODERS: dict[tuple[type, str], WordBpe] = {}
