@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import share_below
+from linkspark.llm.common import share_below, stored
 
 #: Labelled rows that a fit reads at most, about; chosen by hash.
 MAX_FIT = 6000
 #: Features of a fit, those that say most about any category.
 MAX_FEATURES = 2000
+#: Tasks that read the sample.
+FIT_TASKS = 12
 FOLDS, PENALTY, STEPS = 3, 1.0, 120
 PREFIXES = (4, 5, 6)
 #: Texts with fewer rows than this share of the fit's have no feature of their own.
@@ -81,7 +83,7 @@ def _sigmoid(x):
 def logistic(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], y: np.ndarray, extra: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """L1 logistic regression by accelerated proximal steps: weights of the 0/1 features (at rows, columns), of the dense extra columns, and the bias."""
     n, m = shape
-    share = min(max(y.mean(), 0.5 / n), 1 - 0.5 / n)
+    share = (y.sum() + 0.5) / (n + 1)
     w, e, b = np.zeros(m), np.zeros(extra.shape[1]), float(np.log(share / (1 - share)))
     if y.min() == y.max():
         return w, e, b
@@ -104,24 +106,49 @@ def logistic(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], y: n
     return w, e, b
 
 
-def _fit_features(labelled: DataFrame, text_col: str, categories: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """labelled's features and labels on the driver: (row of each, hash of each, labels)."""
+def _selected(rows: DataFrame, categories: Sequence[str], most: int = MAX_FEATURES) -> np.ndarray:
+    """The features of rows (text_, labels) that say most about any category, by a chi-square against independence. Counts are
+    added up by task, then by feature; only the selected ones come to the driver."""
+    n, *ones = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in categories]).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, list[int]] = {}
         for batch in batches:
-            found = [text_features(text) for text in batch.column(0).to_pylist()]
+            labels = [c.to_pylist() for c in batch.columns[1:]]
+            for k, text in enumerate(batch.column(0).to_pylist()):
+                own = [1, *(y[k] for y in labels)]
+                for f in text_features(text):
+                    counts[f] = [x + y for x, y in zip(counts[f], own, strict=True)] if f in counts else own
+        columns = [list(counts), *map(list, zip(*counts.values(), strict=True))] if counts else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    names = ["feature", "n", *(f"y{k}" for k in range(len(categories)))]
+    counts = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    shares = [min(max((y or 0) / max(n, 1), 1e-6), 1 - 1e-6) for y in ones]
+    chi = [F.pow(F.col(f"y{k}") - F.col("n") * s, 2) / (F.col("n") * (s * (1 - s))) for k, s in enumerate(shares)]
+    best = F.greatest(*chi, F.lit(0.0))
+    top = counts.filter(F.col("n") >= min(LEAST_ROWS, n)).select("feature", best.alias("best")).filter("best > 0").orderBy(F.desc("best"), "feature").limit(most)
+    return np.array(sorted(r.feature for r in top.collect()), np.uint32)
+
+
+def _matrix(rows: DataFrame, categories: Sequence[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows' selected features and labels on the driver: (row of each, place of each, labels)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: k for k, f in enumerate(names.tolist())}
+        for batch in batches:
+            found = [[place[f] for f in text_features(text) if f in place] for text in batch.column(0).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.array([f for x in found for f in x], np.uint32).view(np.int32)
+            flat = np.array([f for x in found for f in x], np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *batch.columns[1:]], ["features", *categories])
 
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text_"), *[F.col(c).cast("int").alias(c) for c in categories])
     table = rows.mapInArrow(run, "features array<int>, " + ", ".join(f"`{c}` int" for c in categories)).toArrow().combine_chunks()
     if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros((0, len(categories)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(categories)))
     lists = table.column("features").combine_chunks()
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
-    return np.repeat(np.arange(len(lengths)), lengths), flat, np.stack([table.column(c).to_numpy() for c in categories], 1).astype(float)
+    y = np.stack([table.column(c).to_numpy() for c in categories], 1).astype(float)
+    return np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), y
 
 
 def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), *, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> Chain:
@@ -132,25 +159,14 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("q
     """
     known = labels.select(F.col(id_col), *categories).dropna().dropDuplicates([id_col])
     sample = known.filter(share_below(known, id_col, max_fit))
-    text = documents.select(F.col(id_col), F.col(text_col).alias("text_"))
-    row, flat, y = _fit_features(text.join(F.broadcast(sample), id_col).select("text_", *categories), "text_", categories)
+    text = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    rows = text.join(F.broadcast(sample), id_col).select("text_", *[F.col(c).cast("int").alias(c) for c in categories])
+    rows = stored(rows.repartition(FIT_TASKS), "labelled")
+    names = _selected(rows, categories)
+    row, column, y = _matrix(rows, categories, names)
     n, k = len(y), len(categories)
     if not n:
         return Chain(tuple(categories), np.zeros(0, np.uint32), np.zeros((k, 0)), np.full(k, -8.0), np.zeros((k, k)), 0.5)
-    names, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    # the features that say most about any category, by a chi-square against independence
-    best = np.zeros(len(names))
-    for c in range(k):
-        have = np.bincount(column, y[row, c], minlength=len(names))
-        share = min(max(y[:, c].mean(), 1e-6), 1 - 1e-6)
-        best = np.maximum(best, (have - count * share) ** 2 / (count * share * (1 - share)))
-    best[count < min(LEAST_ROWS, n)] = 0
-    keep = np.zeros(len(names), bool)
-    keep[np.argsort(-best, kind="stable")[:MAX_FEATURES]] = True
-    keep &= best > 0
-    place = np.cumsum(keep) - 1
-    used = keep[column]
-    row, column, names = row[used], place[column[used]], names[keep]
     fold = np.random.default_rng(3).permutation(n) % FOLDS
     shape = (n, len(names))
     weights, bias, earlier, outside = np.zeros((k, len(names))), np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
@@ -211,7 +227,7 @@ class _Scorer:
 
 
 def score(df: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, p_<category> double for each of the chain, and reject boolean (the last category's is at least the threshold).
+    """Per row: id, p_<category> double for each of the chain, and reject boolean (the last category's is above the threshold).
 
     Reads whole texts; null counts as empty. Repeated rows stay and score alike. An
     empty table gives an empty one. Other columns are not looked at.
@@ -222,7 +238,7 @@ def score(df: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str
         scorer = _Scorer(chain)
         for batch in batches:
             p = scorer(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, c]) for c in range(len(columns))], pa.array(p[:, -1] >= chain.threshold)], [id_col, *columns, "reject"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, c]) for c in range(len(columns))], pa.array(p[:, -1] > chain.threshold)], [id_col, *columns, "reject"])
 
     rows = df.select(id_col, text_col)
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in columns) + ", reject boolean"
@@ -236,6 +252,6 @@ def without_toxic(df: DataFrame, chain: Chain, *, text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(chain)
         for batch in batches:
-            yield batch.filter(pa.array(scorer(batch.column(at))[:, -1] < chain.threshold))
+            yield batch.filter(pa.array(scorer(batch.column(at))[:, -1] <= chain.threshold))
 
     return df.mapInArrow(run, df.schema)
