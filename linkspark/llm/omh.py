@@ -163,14 +163,15 @@ def sequences(df: DataFrame, docs: DataFrame, *, id_col: str, text_col: str) ->
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*words, np.zeros(0, np.uint32)]).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc", "words"])
 
-    rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(docs, "doc", "left_semi")
+    rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(docs.hint("merge"), "doc", "left_semi")
     return rows.mapInArrow(run, f"doc {rows.schema[0].dataType.simpleString()}, words array<int>")
 
 
 def verified(pairs: DataFrame, sequence: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose aligned similarity is at least `least`."""
-    one = pairs.join(sequence.select(F.col("doc").alias("a"), F.col("words").alias("words_a")), "a")
-    both = one.join(sequence.select(F.col("doc").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
+    # merged, not broadcast, at every size
+    one = pairs.hint("merge").join(sequence.select(F.col("doc").alias("a"), F.col("words").alias("words_a")), "a")
+    both = one.hint("merge").join(sequence.select(F.col("doc").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
