@@ -10,8 +10,9 @@ increasing chain. Similarity is matches / (shingles of both - matches).
 
 Texts with the same words are one class from the start, so groups of copies are of no
 account later. A bucket of up to `SMALL` texts gives all its pairs. In a larger one all
-members are compared with one of them, its hub at first and then others in turn, as
-long as this joins classes; so a bucket of any size gives a row per member and round.
+members are compared with its hub at first; those outside the hub's class then with a
+few of that class and a few of each other, in turn, as long as this joins classes. So a
+bucket of any size gives a row per member, and a few per round for those outside.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm.common import stored
-from linkspark.llm.components import components
+from linkspark.llm.components import PER_TASK, components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, SAMPLED = 16, 3
 SMALL = 8
-#: Rounds in a row that join nothing, after which larger buckets are done.
-IDLE_ROUNDS = 2
+#: Members of a larger bucket, of either kind, that those outside its hub's class meet in a round; rounds in a row that join nothing, after which it is done.
+CENTRES, IDLE_ROUNDS = 2, 1
 WORD = re.compile(r"[^\W_]+")
 MAX_CACHED = 500_000
 
@@ -217,25 +218,34 @@ def near_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pairs = small.select(F.explode(pair).alias("p")).select("p.*").filter(fits).select(*ordered)
 
     large = members.filter(F.col("size") > SMALL)
-    # the hub of a bucket is in the most and largest buckets
-    weight = members.groupBy("doc").agg(F.sum("size").alias("weight"))
-
-    def compared_with(order: DataFrame) -> DataFrame:
-        centre = order.groupBy("band", "key").agg(F.min(F.struct("order_", F.col("doc").alias("b"), F.col("n").alias("nb"))).alias("c")).select("band", "key", "c.b", "c.nb")
-        return large.join(centre, ["band", "key"]).select(F.col("doc").alias("a"), F.col("n").alias("na"), "b", "nb").filter(fits)
-
-    hubs = compared_with(large.join(weight, "doc").withColumn("order_", -F.col("weight"))).select(*ordered)
+    n_large = large.count()
+    at = ["band", "key"]
+    tasks = 1 + n_large // PER_TASK
+    centre = lambda o: F.min(F.struct(o.alias("o"), F.col("doc").alias("b"), F.col("n").alias("nb")))
+    hubs = pairs.limit(0)
+    if n_large:
+        # the hub of a bucket is in the most and largest buckets
+        weight = members.groupBy("doc").agg(F.sum("size").alias("weight"))
+        hub = large.join(weight, "doc").groupBy(*at).agg(centre(-F.col("weight")).alias("c")).select(*at, F.col("c.b").alias("hub"), F.col("c.nb").alias("n_hub"))
+        large = stored(large.join(hub, at), "large")
+        hubs = large.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), F.col("n_hub").alias("nb")).filter(fits).select(*ordered).distinct().coalesce(tasks)
     links = stored(verified(pairs.union(hubs).distinct(), sequence, least), "links")
     label = stored(components(links), "components")
     idle = turn = 0
-    any_large = bool(large.limit(1).count())
-    while any_large and idle < IDLE_ROUNDS:
+    while n_large and idle < IDLE_ROUNDS:
+        of = lambda c, name: label.select(F.col("node").alias(c), F.col("component").alias(name))
+        placed = large.join(of("doc", "own"), "doc", "left").join(of("hub", "main"), "hub", "left").withColumns({"own": F.coalesce("own", "doc"), "main": F.coalesce("main", "hub")})
+        # members outside the hub's class meet a few of that class, and a few of their own kind
+        outside = placed.filter(F.col("own") != F.col("main"))
+        in_class = F.col("own") == F.col("main")
+        orders = [F.xxhash64(F.lit(turn * CENTRES + k), "band", "doc") for k in range(CENTRES)]
+        first = [F.min(F.when(kind, F.struct(o.alias("o"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("own").alias("cb")))) for kind in (in_class, ~in_class) for o in orders]
+        centres = placed.groupBy(*at).agg(F.array(*first).alias("c"), F.max(~in_class).alias("open")).filter("open").select(*at, F.explode("c").alias("c")).select(*at, "c.b", "c.nb", "c.cb").filter("b is not null")
+        met = outside.select(*at, F.col("doc").alias("a"), F.col("n").alias("na"), F.col("own").alias("ca")).join(centres, at)
+        open_pairs = met.filter(fits & (F.col("ca") != F.col("cb"))).select(*ordered).distinct().coalesce(tasks)
         turn += 1
-        open_pairs = compared_with(large.withColumn("order_", F.xxhash64(F.lit(turn), "band", "doc"))).select("a", "b").distinct()
-        own = open_pairs.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        open_pairs = own.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*ordered).distinct()
         more = stored(verified(open_pairs, sequence, least), "links")
-        if not more.limit(1).count():
+        if more.isEmpty():
             idle += 1
             continue
         idle = 0
