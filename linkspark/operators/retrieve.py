@@ -72,8 +72,9 @@ def candidates(records: DataFrame, rule: Depth = Depth()) -> DataFrame:
     """records: (part, side 1 or 2, rid, the name and address fields). Returns (part, a, b, cos_name, cos_addr, cos_char,
     cheap, rank, n_cands). Parts without a record of side 1 give nothing; records without a shared key have no pair."""
     keep = ["part", "side", "rid"]
-    words = word_keys(records, keep, first_side=F.col("side") == 1)
-    chars = char_keys(records, keep)
+    # keys, weights and cosines are each read several times
+    words = word_keys(records, keep, first_side=F.col("side") == 1).persist()
+    chars = char_keys(records, keep).persist()
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
     weights = {
         "name": weighted(words, sizes, NAME_WEIGHTS, max_df=rule.max_df_word),
@@ -81,7 +82,7 @@ def candidates(records: DataFrame, rule: Depth = Depth()) -> DataFrame:
         "char": weighted(chars, sizes, CHAR_WEIGHTS, max_df=rule.max_df_char),
     }
     depth = depths(records, rule)
-    found = three_lists(block_cosines(weights), depth)
+    found = three_lists(block_cosines({k: w.persist() for k, w in weights.items()}).persist(), depth)
     cheap = F.round(BLOCKS["name"] * F.col("cos_name") + BLOCKS["addr"] * F.col("cos_addr") + BLOCKS["char"] * F.col("cos_char"), SCALE)
     found = found.withColumn("cheap", cheap).withColumn("rank", ranked(F.col("cheap")))
     found = found.join(F.broadcast(depth.select("part", "max_candidates")), "part").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates")

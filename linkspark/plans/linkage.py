@@ -19,7 +19,7 @@ from linkspark.operators.context import CONTEXT_FEATURES, context_features
 from linkspark.operators.group import GROUP_FEATURES, cluster_support, group_features
 from linkspark.operators.keys import ADDRESS_WEIGHTS, NAME_WEIGHTS, word_keys
 from linkspark.operators.metrics import entity_scores, report
-from linkspark.operators.model import FoldEnsemble
+from linkspark.operators.model import PARAMS, FoldEnsemble
 from linkspark.operators.pairs import FEATURES, featurised, prepared
 from linkspark.operators.retrieve import Depth, candidates
 from linkspark.operators.split import fold_of, learned_words
@@ -37,6 +37,8 @@ class Config:
     unlabelled_temperature: float = 1.5
     unlabelled_lam: float = 0.0
     bucket_offsets: dict = field(default_factory=dict)
+    trees: dict = field(default_factory=lambda: dict(PARAMS))
+    methods: tuple = ("thr", "ef", "exact")
 
 
 def normalised(records: DataFrame, words: dict[str, str] | None = None, *, name: str = "business_name", address: str = "business_address", country: str = "country") -> DataFrame:
@@ -66,7 +68,7 @@ def grouped(scored: DataFrame, records: DataFrame) -> DataFrame:
     keys = word_keys(right, ["part", "side", "rid"])
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
     both = keys.unionByName(keys.withColumn("side", F.lit(1)))  # similarity among records of one side
-    vectors = {n: weighted(both, sizes, w, max_df=1e12).filter("side = 2") for n, w in (("name", {"w": NAME_WEIGHTS["w"]}), ("addr", {k: ADDRESS_WEIGHTS[k] for k in ("s", "l", "n", "x")}))}
+    vectors = {n: weighted(both, sizes, w, max_df=1e12).filter("side = 2").persist() for n, w in (("name", {"w": NAME_WEIGHTS["w"]}), ("addr", {k: ADDRESS_WEIGHTS[k] for k in ("s", "l", "n", "x")}))}
     return group_features(pairs, cluster_support(pairs, vectors))
 
 
@@ -102,11 +104,11 @@ class Linkage:
         n = self.config.n_folds
         fold = fold_of(F.xxhash64("a"), n)
         base = labelled(self.features("train", records, found), truth).withColumn("fold", fold)
-        one = FoldEnsemble(STAGE_ONE).fit(base, n_folds=n)
+        one = FoldEnsemble(STAGE_ONE, self.config.trees).fit(base, n_folds=n)
         scored = self._stage("scores/train_p1", lambda: one.predict(base, "p1", fold="fold").withColumn("is_s2", F.col("is_s2").cast("int")))
         more = self._stage("features/train_group", lambda: grouped(scored, records).drop("p1"))
         second = scored.join(more, ["part", "a", "b"])
-        two = FoldEnsemble(STAGE_TWO).fit(second, n_folds=n)
+        two = FoldEnsemble(STAGE_TWO, self.config.trees).fit(second, n_folds=n)
         src = records.filter("side = 2").select("part", F.col("rid").alias("b"), "src")
         final = self._stage("scores/train_p", lambda: two.predict(second, "p", fold="fold").join(src, ["part", "b"]).select(F.col("part"), F.col("a").alias("s1"), F.col("b").alias("eid"), "src", "fold", "p1", "p", F.col("y")))
         rules = self.tuned(D.one_to_one(final), records, truth, final)
@@ -130,7 +132,7 @@ class Linkage:
                 return D.tune_expected_f(rows, ents, truth, **quick)[0]
             return {"lam": D.tune_lam(rows, ents, truth)[0]}
 
-        methods, value = ("thr", "ef", "exact"), {}
+        methods, value = self.config.methods, {}
         for m in methods:
             total = 0.0
             for k in range(self.config.n_folds):
