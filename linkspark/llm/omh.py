@@ -10,9 +10,11 @@ increasing chain. Similarity is matches / (shingles of both - matches).
 
 Texts with the same words are one class from the start, so groups of copies are of no
 account later. A bucket of up to `SMALL` texts gives all its pairs. In a larger one all
-members are compared with its hub at first; those outside the hub's class then with a
-few of that class and a few of each other, in turn, as long as this joins classes. So a
-bucket of any size gives a row per member, and a few per round for those outside.
+members are compared with its hub at first, which joins most groups of near copies.
+What this leaves apart is compared by an exact prefix filter: of two texts at the wanted
+similarity, the shingles that come first in one order of all, the rarest first, have
+one in common. So texts that share only a frequent passage do not meet, and no link
+between members of large buckets is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from linkspark.llm.components import PER_TASK, components
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, SAMPLED = 16, 3
 SMALL = 8
-#: Members of a larger bucket, of either kind, that those outside its hub's class meet in a round; rounds in a row that join nothing, after which it is done.
-CENTRES, IDLE_ROUNDS = 2, 1
+#: Bits of the slots in which shingles are counted to order them, and of the blocks in which the counts travel.
+SLOT_BITS, BLOCK_BITS = 20, 14
+#: Texts of large buckets that a task counts at least.
+COUNTED = 5_000
 WORD = re.compile(r"[^\W_]+")
 MAX_CACHED = 500_000
 
@@ -168,6 +172,11 @@ def sequences(df: DataFrame, docs: DataFrame, *, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, f"doc {rows.schema[0].dataType.simpleString()}, words array<int>")
 
 
+def _labels(words: pa.ListScalar) -> np.ndarray:
+    """The labelled shingles of a row of `sequences`."""
+    return labelled(shingles(words.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)))
+
+
 def verified(pairs: DataFrame, sequence: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose aligned similarity is at least `least`."""
     # merged, not broadcast, at every size
@@ -182,7 +191,7 @@ def verified(pairs: DataFrame, sequence: DataFrame, least: float) -> DataFrame:
             if doc not in known:
                 if len(known) >= 64:
                     known.clear()
-                known[doc] = labelled(shingles(batch.column(side + 2)[k].values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)))
+                known[doc] = _labels(batch.column(side + 2)[k])
             return known[doc]
 
         for batch in batches:
@@ -193,6 +202,70 @@ def verified(pairs: DataFrame, sequence: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def counted(sequence: DataFrame, docs: DataFrame) -> np.ndarray:
+    """How many labelled shingles of the docs fall in each slot of their hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for words in batch.column(0):
+                np.add.at(slots, (_labels(words) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        blocks = slots.reshape(-1, 1 << BLOCK_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(list(blocks), pa.list_(pa.int64()))], ["block", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + counts.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["block", "counts"])
+
+    kind = "block int, counts array<bigint>"
+    rows = sequence.join(docs, "doc", "left_semi").select("words").coalesce(1 + docs.count() // COUNTED)
+    slots = np.zeros((1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int32)
+    for r in rows.mapInArrow(count, kind).repartition("block").mapInArrow(total, kind).collect():  # a number for each slot
+        slots[r.block] = np.minimum(r.counts, 2**31 - 1)
+    return slots.reshape(-1)
+
+
+def unlinked(docs: DataFrame, sequence: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of the docs that may be at `least` and are in different components: those with a
+    common shingle among the first n - ceil(least * n) + 1 of each, by slot count and hash."""
+    docs = stored(docs, "docs")
+    slots = docs.sparkSession.sparkContext.broadcast(counted(sequence, docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = slots.value
+        for batch in batches:
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                at, keys, left, sizes = [], [], [], []
+                for k, words in enumerate(part.column(1)):
+                    own = _labels(words)
+                    count = held[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                    first = np.lexsort((own, count))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
+                    some = count[first] > 1  # a slot of one has no other text
+                    at.append(np.full(some.sum(), k))
+                    keys.append(own[first][some])
+                    left.append(len(own) - np.flatnonzero(some))
+                    sizes.append(np.full(some.sum(), len(own)))
+                if at:
+                    docs_at = part.column(0).take(pa.array(np.concatenate(at)))
+                    yield pa.RecordBatch.from_arrays([docs_at, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(left), pa.int32()), pa.array(np.concatenate(sizes), pa.int32())], ["doc", "key", "left", "n"])
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    rows = sequence.join(docs, "doc", "left_semi").mapInArrow(run, f"doc {kind}, key bigint, left int, n int")
+    rows = rows.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "left", "n", F.coalesce("component", "doc").alias("own"))
+    rows = stored(rows, "prefixes")
+    # keys of one component have no pair
+    keys = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("key")
+    rows = stored(rows.join(keys, "key", "left_semi"), "open")
+    one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "left", "n", "own")]) for x in "ab")
+    needed = F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    # from the first shingle in common on, each text must have as many as are needed
+    may = (one["key"] == two["key"]) & (F.col("doc_a") < F.col("doc_b")) & (F.col("own_a") != F.col("own_b")) & (F.least("left_a", "left_b") >= needed)
+    return one.hint("merge").join(two, may).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
 def near_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Per row: id, class_id (the least id of its class), class_size long.
 
@@ -231,26 +304,9 @@ def near_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         hubs = large.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), F.col("n_hub").alias("nb")).filter(fits).select(*ordered).distinct().coalesce(tasks)
     links = stored(verified(pairs.union(hubs).distinct(), sequence, least), "links")
     label = stored(components(links), "components")
-    idle = turn = 0
-    while n_large and idle < IDLE_ROUNDS:
-        of = lambda c, name: label.select(F.col("node").alias(c), F.col("component").alias(name))
-        placed = large.join(of("doc", "own"), "doc", "left").join(of("hub", "main"), "hub", "left").withColumns({"own": F.coalesce("own", "doc"), "main": F.coalesce("main", "hub")})
-        # members outside the hub's class meet a few of that class, and a few of their own kind
-        outside = placed.filter(F.col("own") != F.col("main"))
-        in_class = F.col("own") == F.col("main")
-        orders = [F.xxhash64(F.lit(turn * CENTRES + k), "band", "doc") for k in range(CENTRES)]
-        first = [F.min(F.when(kind, F.struct(o.alias("o"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("own").alias("cb")))) for kind in (in_class, ~in_class) for o in orders]
-        centres = placed.groupBy(*at).agg(F.array(*first).alias("c"), F.max(~in_class).alias("open")).filter("open").select(*at, F.explode("c").alias("c")).select(*at, "c.b", "c.nb", "c.cb").filter("b is not null")
-        met = outside.select(*at, F.col("doc").alias("a"), F.col("n").alias("na"), F.col("own").alias("ca")).join(centres, at)
-        open_pairs = met.filter(fits & (F.col("ca") != F.col("cb"))).select(*ordered).distinct().coalesce(tasks)
-        turn += 1
-        more = stored(verified(open_pairs, sequence, least), "links")
-        if more.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        links = links.union(more)
-        label = stored(components(links), "components")
+    if n_large:
+        more = stored(verified(unlinked(large.select("doc").distinct(), sequence, label, least), sequence, least), "links")
+        label = stored(components(links.union(more)), "components")
     names = distinct.select("class_", F.col("doc").alias("node")).join(label, "node", "left").select("class_", F.coalesce("component", "node").alias("class_id"))
     rows = rows.select("class_", "doc").join(names, "class_")
     counts = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

@@ -156,6 +156,25 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {got[k] for k in range(60)} == {(0, 60)} and all(got[100 + k] == (100 + k, 1) for k in range(10))
 
 
+def test_pairs_inside_one_large_bucket(spark):
+    passage, rows, pairs = random_words(176, 9), [], []
+    sketched = lambda w: omh.sketch(omh.word_hashes(" ".join(w)))
+    others = np.array([sketched(passage + random_words(28, 10 + k)) for k in range(12)])
+    for k in range(1000):
+        tail = random_words(8, 1000 + k)
+        one, two = (passage + tail + random_words(20, 2000 + 2 * k + x) for x in (0, 1))
+        a, b = sketched(one), sketched(two)
+        if len(pairs) < 4 and not ((a == b) & (a != others).all(0)).any():  # they share the passage's buckets only
+            pairs.append((2 * k, 2 * k + 1))
+            rows += [(2 * k, " ".join(one), "en", "s", 0), (2 * k + 1, " ".join(two), "en", "s", 0)]
+    assert len(pairs) == 4
+    rows += [(5000 + k, " ".join(passage + random_words(28, 5000 + k)), "en", "s", 0) for k in range(300)]
+    labelled = {r[0]: omh.labelled(omh.shingles(omh.word_hashes(r[1]))) for r in rows}
+    assert [(a, b) for a in labelled for b in labelled if a < b and omh.similarity(labelled[a], labelled[b]) >= 0.8] == pairs
+    got = {r.doc_id: r.class_id for r in omh.near_classes(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert got == {x: x for x in labelled} | {b: a for a, b in pairs}
+
+
 def test_banded_alignment_equals_the_full_table():
     for k in range(60):
         a = random_words(40 + k, k, size=30)
