@@ -150,10 +150,7 @@ def difference(page: list[Block], neighbours: list[list[Block]]) -> tuple[list[s
         if 2 * sum(len(lines[k]) for k in found) <= sum(map(len, lines)):
             shared = set(found)
             break
-    marked = any(b.article and b.content for b in page)
-    if marked:
-        return [b.text for b in page if b.article and b.content], len(shared)
-    return [b.text for k, b in enumerate(page) if b.content and k not in shared], len(shared)
+    return [b.text for k, b in enumerate(page) if b.content and (b.article or k not in shared)], len(shared)
 
 
 def _prefix(a: str, b: str) -> int:

@@ -295,6 +295,13 @@ def test_shared_lines_of_neighbours_go(spark):
     assert whole == cut and all(whole[k].startswith("Story number") and "\n" not in whole[k] for k in range(1, 9)) and whole[50].count("\n") == 2
 
 
+def test_text_outside_the_article_stays_unless_shared(spark):
+    page = lambda k: f"<body><div>Welcome to the site</div><article><h2>Teaser {k}</h2></article><div>Body number {k} goes on after {'many ' * k}things</div><div>All rights kept</div></body>"
+    rows = [(k, f"http://site.example/{k:03}", page(k)) for k in range(1, 6)]
+    got = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"Teaser {k}\nBody number {k} goes on after {'many ' * k}things" for k in range(1, 6)}
+
+
 def test_common_lines_are_a_longest_subsequence():
     rng = random.Random(2)
     for _ in range(200):
