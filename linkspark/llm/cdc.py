@@ -37,6 +37,8 @@ FINE, SHORT = Chunking(2, 5, 16, 3, 2), 1024
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 #: Bytes of the lengths in a fingerprint's entry; the digest has the rest of 64 bits.
 LENGTH_BITS = 16
+#: Set in the length of an entry of a FINE chunk.
+FINE_BIT = 1 << (LENGTH_BITS - 1)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -79,13 +81,13 @@ def boundaries(data: bytes, rule: Chunking = Chunking()) -> list[int]:
 
 def fingerprint(data: bytes, rule: Chunking = Chunking()) -> np.ndarray:
     """The sorted distinct entries digest << LENGTH_BITS | length of data's chunks. Data under SHORT bytes,
-    which has few chunks, is also chunked by FINE, and has the entries of both."""
+    which has few chunks, is also chunked by FINE, and has the entries of both; FINE_BIT tells them apart."""
     entries = set()
     digest = hashlib.blake2b
     for k, one in enumerate((rule, FINE) if len(data) < SHORT else (rule,)):
         start = 0
         for end in boundaries(data, one):
-            entries.add(int.from_bytes(digest(data[start:end], digest_size=6, salt=b"%d" % k).digest(), "little") << LENGTH_BITS | min(end - start, (1 << LENGTH_BITS) - 1))
+            entries.add(int.from_bytes(digest(data[start:end], digest_size=6, salt=b"%d" % k).digest(), "little") << LENGTH_BITS | FINE_BIT * k | min(end - start, FINE_BIT - 1))
             start = end
     out = np.fromiter(entries, np.uint64, len(entries))
     out.sort()
@@ -93,10 +95,14 @@ def fingerprint(data: bytes, rule: Chunking = Chunking()) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The length of the shared chunks over that of the smaller set; two empty sets are alike, an empty one is like no other."""
+    """The length of the shared chunks over that of the smaller set; two empty sets are alike, an empty one is like no other.
+    FINE chunks count only where both texts have them."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    mask = np.uint64((1 << LENGTH_BITS) - 1)
+    fine_a, fine_b = (x & np.uint64(FINE_BIT) > 0 for x in (a, b))
+    if fine_a.any() != fine_b.any():
+        a, b = a[~fine_a], b[~fine_b]
+    mask = np.uint64(FINE_BIT - 1)
     total = lambda x: float((x & mask).sum())
     return total(np.intersect1d(a, b, assume_unique=True)) / min(total(a), total(b))
 

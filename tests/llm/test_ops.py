@@ -357,6 +357,15 @@ def test_chunks_resist_shifts_and_measure_containment():
     assert (cdc.parsed(cdc.spelled(own)) == own).all()
 
 
+def test_a_short_text_inside_a_long_one_measures_as_a_longer_one_does():
+    means = {}
+    for n in (900, 1100):
+        texts = [" ".join(random_words(2000, seed)).encode()[:2000] for seed in range(40)]
+        means[n] = np.mean([cdc.likeness(cdc.fingerprint(t[400 : 400 + n]), cdc.fingerprint(t)) for t in texts])
+        assert cdc.likeness(cdc.fingerprint(texts[0][:n]), cdc.fingerprint(texts[1])) < 0.05
+    assert min(means.values()) > 0.85 and abs(means[900] - means[1100]) < 0.05
+
+
 # -- 10 ---------------------------------------------------------------------------------
 
 
