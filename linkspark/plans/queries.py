@@ -333,6 +333,13 @@ def norm_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.col("lang") != "de").select("doc_id", F.length(plain).cast("bigint").alias("n"), F.md5(plain).alias("digest"))
 
 
+@query("SELECT doc_id, length(lower(strip_accents(text))) AS n, md5(lower(strip_accents(text))) AS digest FROM documents")
+def norm_accents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As norm_accents, of all rows: German ones and those without a language too."""
+    plain = F.lower(strip_accents(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(plain).cast("bigint").alias("n"), F.md5(plain).alias("digest"))
+
+
 @query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\\d+'), lambda d: coalesce(nullif(ltrim(d, '0'), ''), '0')), ' ') AS numbers FROM documents")
 def norm_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkspark.functions.address import number_runs

@@ -1,3 +1,4 @@
+import hashlib
 import pytest
 from linkspark.functions.address import with_addresses
 from linkspark.functions.text import romanise, with_names
@@ -54,3 +55,13 @@ def test_addresses(spark, raw, country, wanted):
     df = spark.createDataFrame([(raw, country)], "raw string, country string")
     got = with_addresses(df, "raw", "country").first().asDict()
     assert {k: got[k] for k in wanted} == wanted
+
+
+def test_accents_are_stripped_in_every_row(spark, tmp_path):
+    from linkspark.plans.queries import QUERIES
+
+    rows = [(1, "Größe Äpfel", "de"), (2, "Éa", "fr"), (3, "Ü", None), (4, None, "de")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.digest) for r in QUERIES["norm_accents_all"](spark, str(tmp_path)).collect()}
+    digest = lambda x: (len(x), hashlib.md5(x.encode()).hexdigest())
+    assert got == {1: digest("große apfel"), 2: digest("ea"), 3: digest("u"), 4: (None, None)}
