@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from linkspark.operators.context import with_context
 from linkspark.operators.group import by_record, group_features
 from linkspark.operators.keys import char_keys, tokens, word_keys
 from linkspark.operators.pairs import set_features, with_imputed_states
-from linkspark.operators.retrieve import BLOCKS, SCALE, candidates, ranked
+from linkspark.operators.retrieve import BLOCKS, SCALE, Depth, candidates, ranked
 from linkspark.operators.split import fold_of, without_frequent_ids
 from linkspark.operators.tfidf import pair_stats, weighted
 from linkspark.sources.adapters import document_records, document_truth, party_records, table
@@ -40,6 +41,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 #: A key of more records than this is of no use to blocking; it bounds what a key can fan out to.
 MAX_DF = 60
+#: The operator's own bound, which the `_deep` queries have.
+DEEP_MAX_DF = Depth().max_df_word
+_max_df: ContextVar[int] = ContextVar("max_df", default=MAX_DF)
 COSINE_SCALE = 6
 
 RECORDS = """records AS (
@@ -65,7 +69,7 @@ best AS (SELECT part, a AS s1, b AS eid, cos AS p FROM owned WHERE o = 1)"""
 def document_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = document_records(spark, sf_dir)
     keys = records.select("part", "side", "rid", F.lit("w").alias("ns"), F.explode("words").alias("key"))
-    return weighted(keys, records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records")), {"w": 1.0}, max_df=MAX_DF)
+    return weighted(keys, records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records")), {"w": 1.0}, max_df=_max_df.get())
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +236,7 @@ FROM p JOIN t x ON x.part = p.part AND x.side = 1 AND x.rid = a JOIN t y ON y.pa
 def feat_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = document_records(spark, sf_dir)
     keys = records.select("part", "side", "rid", F.lit("w").alias("ns"), F.explode("words").alias("key"))
-    raw = weighted(keys, records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records")), {"w": 1.0}, max_df=MAX_DF, normalise=False)
+    raw = weighted(keys, records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records")), {"w": 1.0}, max_df=_max_df.get(), normalise=False)
     out = pair_stats(document_pairs(spark, sf_dir), raw)
     return out.select("part", "a", "b", *[F.round(c, 6).alias(c) for c in ("cos", "cont_ab", "cont_ba")], "nf_a", "nf_b")
 
@@ -549,3 +553,26 @@ def util_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     sq = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), "label", F.round(sq, 3).alias("sq"))
+
+
+# -- documents at the operator's own depth ----------------------------------------------
+
+
+def deep(name: str) -> Query:
+    """The query with keys of up to DEEP_MAX_DF records; tests hold it against its SQL at that depth on a small table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _max_df.set(DEEP_MAX_DF)
+        try:
+            return QUERIES[name](spark, sf_dir)
+        finally:
+            _max_df.reset(token)
+
+    run.__name__ = f"{name}_deep"
+    return run
+
+
+#: Document linkage queries that drop frequent keys.
+CAPPED = "er_tfidf_topk_f05 block_tfidf block_cosine topk_per_entity block_recall dec_one_to_one dec_expected_f dec_thresholds dec_calibrate dec_exact_f dec_isotonic dec_tuned_thresholds sink_id_lists group_by_record group_windows feat_idf".split()
+for _name in CAPPED:
+    query()(deep(_name))

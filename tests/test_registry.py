@@ -25,3 +25,11 @@ def test_parquet_scans_are_pruned(spark):
     plan = core.QUERIES["join_semi"](spark, TINY)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,400000.0)" in plan
     assert "struct<o_custkey:bigint,o_totalprice:double>" in plan
+
+
+@pytest.mark.parametrize("name", ["er_tfidf_topk_f05", "block_tfidf", "block_cosine", "topk_per_entity", "dec_one_to_one", "block_recall", "group_by_record", "feat_idf"])
+def test_deep_queries_keep_frequent_keys(spark, name):
+    sql = core.SQL[name].replace(f"BETWEEN 2 AND {core.MAX_DF} AND", f"BETWEEN 2 AND {core.DEEP_MAX_DF} AND")
+    assert sql != core.SQL[name] and core.DEEP_MAX_DF == 5000
+    found = core.QUERIES[f"{name}_deep"](spark, TINY).toPandas()
+    assert differences(found, connection(TINY).execute(sql).fetchdf()) == ""
