@@ -6,7 +6,8 @@ ordered by URL path, each is aligned with its nearest neighbour by the longest c
 subsequence of their lines, and lines that both share are deleted: what a site repeats
 from page to page. Lines inside an element that the page itself marks as its article
 are not deleted, as neighbours may carry the same article; nor are lines shared with a
-neighbour that is a copy of the page as a whole.
+neighbour that is a copy of the page as a whole. Only the pages before and after are
+looked at: between two copies nothing is deleted.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: A neighbour is a copy of the page if more than this share of the larger one's content characters is common to both.
+COPY = 0.9
+
+
 class Block(NamedTuple):
     text: str
     content: bool  # not in an element that is no content
@@ -147,7 +152,8 @@ def difference(page: list[Block], neighbours: list[list[Block]]) -> tuple[list[s
     shared: set[int] = set()
     for other in neighbours:
         found = common(lines, [b.text for b in other])
-        if 2 * sum(len(lines[k]) for k in found) <= sum(map(len, lines)):
+        size = max(sum(len(b.text) for b in x if b.content) for x in (page, other))
+        if sum(len(lines[k]) for k in found if page[k].content) <= COPY * size:
             shared = set(found)
             break
     return [b.text for k, b in enumerate(page) if b.content and (b.article or k not in shared)], len(shared)

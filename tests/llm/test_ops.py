@@ -295,6 +295,15 @@ def test_shared_lines_of_neighbours_go(spark):
     assert whole == cut and all(whole[k].startswith("Story number") and "\n" not in whole[k] for k in range(1, 9)) and whole[50].count("\n") == 2
 
 
+def test_a_short_story_under_long_boilerplate(spark):
+    nav = "<nav>" + "<p>menu entry of the site</p>" * 20 + "</nav>"
+    page = lambda k, day: f"<body>{nav}<div>Welcome to the site of many stories, read by all</div><div>Story {k}: {'word ' * (4 + k)}</div><div>All rights are kept by the owners of this site</div><p>{day}</p></body>"
+    rows = [(k, f"http://site.example/{k:03}", page(k, "")) for k in range(1, 7)] + [(k, f"http://copies.example/{k}", page(40, k)) for k in (11, 12)]
+    got = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k}: {'word ' * (4 + k)}".strip() for k in range(1, 7))
+    assert all(got[k].startswith("Welcome") and "Story 40" in got[k] for k in (11, 12))  # copies keep their text
+
+
 def test_text_outside_the_article_stays_unless_shared(spark):
     page = lambda k: f"<body><div>Welcome to the site</div><article><h2>Teaser {k}</h2></article><div>Body number {k} goes on after {'many ' * k}things</div><div>All rights kept</div></body>"
     rows = [(k, f"http://site.example/{k:03}", page(k)) for k in range(1, 6)]
