@@ -30,7 +30,9 @@ FULL, REST = 60, 0.02
 #: Pages that a smoothing prior counts as.
 PRIOR = 5.0
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
+#: A comment, or the html tag.
+HTML = re.compile(r"<!--.*?(?:-->|\Z)|<html\b([^>]*)", re.S | re.I)
+DECLARED = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 MAX_CACHED = 200_000
 
@@ -46,6 +48,13 @@ def word_grams(word: str) -> list[str]:
     return [w[k : k + 3] for k in range(len(w) - 2)]
 
 
+def declared_language(page: str) -> str:
+    """Of the first html tag outside comments, wherever it is; "" without one."""
+    tag = next((m[1] for m in HTML.finditer(page) if m[1] is not None), "")
+    found = DECLARED.search(tag)
+    return found[1].lower() if found else ""
+
+
 def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_fit: int = MAX_FIT) -> TextModel:
     """Trigram likelihoods from about max_fit labelled documents; rows without a label are left out."""
 
@@ -84,8 +93,7 @@ def evidence(pages: DataFrame, model: TextModel, *, id_col: str = "page_id", url
             declared, logs = [], []
             for k in range(batch.num_rows):
                 page = batch.column(2)[k].as_py() or ""
-                found = DECLARED.search(page[:5000])
-                declared.append(found[1].lower() if found else "")
+                declared.append(declared_language(page))
                 if len(known) > MAX_CACHED:
                     known.clear()
                 total, n = np.zeros(len(model.languages)), 0

@@ -260,6 +260,14 @@ def test_languages(spark):
     assert (blind.sort_values("page_id").lang.values == got.sort_values("page_id").lang.values).mean() > 0.97
 
 
+def test_declared_language_anywhere_in_the_page(spark):
+    model = langid.fit(spark.read.parquet(f"{TINY}/documents.parquet"))
+    heads = [(1, "<!-- " + "licence " * 2000 + "-->"), (2, " " * 9000), (3, "<!-- <html lang='fr'> -->"), (4, "")]
+    pages = spark.createDataFrame([(k, "http://a.b/x", head + "<HTML class='x' lang='de'><p>eins</p></html>") for k, head in heads] + [(5, "http://a.b/y", "<html><p lang='fr'>x")], "page_id bigint, url string, html string")
+    got = {r.page_id: r.declared for r in langid.identify(pages, model).collect()}
+    assert got == {1: "de", 2: "de", 3: "de", 4: "de", 5: ""}
+
+
 def test_languages_odd_rows(spark, empty):
     model = langid.fit(spark.read.parquet(f"{TINY}/documents.parquet"))
     pages = spark.createDataFrame([(1, None, None), (2, "", ""), (2, "", ""), (3, "http://a.de/x", "<html lang='de'><p>und der die")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
