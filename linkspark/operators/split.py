@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions.similarity import ratio
-from linkspark.functions.text import has_non_latin, strip_accents
+from linkspark.functions.text import has_non_latin, romanise, strip_accents
 
 # fixed values: the multiplier and the modulus of the fold formula
 FOLD_FACTOR, FOLD_MODULUS = 2654435761, 1000003
@@ -47,10 +48,6 @@ def without_frequent_ids(lists: DataFrame, column: str, most: int = 2) -> DataFr
 def learned_words(pairs: DataFrame, latin: str, native: str, *, min_count: int = 2, min_share: float = 0.5, least: float = 60.0) -> DataFrame:
     """(native_word, word) from names in two scripts: words at equal places where the names have as many; else the Latin word
     whose consonants are most like those of the romanised one. A word's usual partner stays if it is frequent enough."""
-    import pandas as pd
-
-    from linkspark.functions.text import romanise
-
     lower = F.regexp_extract_all(F.lower(strip_accents(F.col(latin))), F.lit("([a-z0-9]+)"), F.lit(1))
     other = F.filter(F.transform(F.split(F.trim(F.col(native)), r"\s+"), lambda t: F.regexp_replace(t, r"""^[.,;:()\[\]{}"']+|[.,;:()\[\]{}"']+$""", "")), lambda t: t != "")
     df = pairs.select(lower.alias("l"), other.alias("n")).filter((F.size("l") > 0) & (F.size("n") > 0))
