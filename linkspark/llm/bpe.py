@@ -7,30 +7,97 @@ what stands before its last token plus that token, so encodings of shared prefix
 are worked out once. A token can be the last one after a token p if merging their
 symbols alone gives the two tokens again; exactly one token that ends the prefix can.
 
-There is no shuffle: a task sees whole texts, and its tables are bounded by
-`MAX_CACHED` entries for any size of input.
+The trie is held as the sorted words, each with the length of the prefix that it shares
+with the one before: the order of the words is the depth-first order of the nodes, and a
+walk needs the states of one path only, whatever the number of words.
+
+Splitting, finding distinct words and putting ids in place of words run over whole
+blocks in Arrow's kernels. There is no shuffle: a task sees whole texts, its tables are
+bounded in bytes for any size of input, and they are emptied when it ends.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each table of a worker.
-MAX_CACHED = 500_000
-#: Code points of the texts that are encoded together.
-BLOCK_CHARS = 2_000_000
+from linkspark.llm.common import handed_back
+
+#: Bytes that the words of each table of a worker may take, with what Python adds to them.
+MAX_HELD = 64 << 20
+#: Bytes that an entry takes besides its letters.
+ENTRY = 200
+#: UTF-8 bytes of the texts that are encoded together.
+BLOCK_BYTES = 4 << 20
 #: White space by Unicode's White_Space property.
-UNICODE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+UNICODE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The part of it that is not ASCII.
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class Table(dict):
+    """A dict that is emptied when its entries take more than `most` bytes, as told."""
+
+    def __init__(self, most: int = MAX_HELD):
+        self.most, self.held = most, 0
+
+    def grown(self, size: int) -> None:
+        """To be called before an entry of so many bytes is put in."""
+        self.held += size
+        if self.held > self.most:
+            self.clear()
+            self.held = size
+
+
+class Recent:
+    """Values of words, in at most about `most` bytes: the newest half, and the half before it, of which stays what is asked for again."""
+
+    def __init__(self, most: int = MAX_HELD):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def values(self, words: list[str]) -> list[bytes | None]:
+        found = list(map(self.new.get, words))
+        if self.old and (again := [k for k, x in enumerate(found) if x is None]):
+            old = self.old
+            for k in again:
+                found[k] = old.get(words[k])
+            self.add({words[k]: found[k] for k in again if found[k] is not None})
+        return found
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        size = sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY * len(entries)
+        if self.held + size > self.most // 2:
+            self.old, self.new, self.held = self.new, {}, 0
+        if size <= self.most // 2:
+            self.new.update(entries)
+            self.held += size
+
+
+class Encoded(NamedTuple):
+    """Ids of several texts, one after the other, and how many each text has."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+
+    def lists(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int32)), pa.array(self.ids.astype(np.int32, copy=False), pa.int32()))
 
 
 def byte_symbols() -> list[str]:
@@ -43,7 +110,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder for a tokenizer file with word ends, lower case and dropped white space."""
 
-    def __init__(self, path: str, max_cached: int = MAX_CACHED):
+    def __init__(self, path: str, max_held: int = MAX_HELD):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
@@ -60,12 +127,17 @@ class WordBpe:
         self.token = [""] * (1 + max(*self.vocab.values(), *self.special.values()))
         for t, k in [*self.vocab.items(), *self.special.items()]:
             self.token[k] = t
-        self.max_cached = max_cached
-        self._whole: dict[str, bool] = {}
-        self._follows: dict[tuple[str, str], bool] = {}
-        self._edges: tuple[dict, dict] = ({}, {})
-        self._word: dict[str, bytes] = {}
-        self._piece: dict = {}
+        self.max_held = max_held
+        self.tokens = pa.array(self.token, pa.string())
+        self.numbers = pa.array([str(k) for k in range(len(self.token))], pa.string())
+        self.clear()
+
+    def clear(self) -> None:
+        """Empties the tables."""
+        self._whole: Table = Table(self.max_held)
+        self._follows: Table = Table(self.max_held)
+        self._edges: tuple[Table, Table] = (Table(self.max_held), Table(self.max_held))
+        self._word, self._piece = Recent(self.max_held), Recent(self.max_held)
 
     # -- merging of a few symbols, for the tests that the walk needs ------------------
 
@@ -88,8 +160,7 @@ class WordBpe:
     def _is_whole(self, token: str) -> bool:
         """Whether the vocabulary has the token and merging its symbols gives it."""
         if (known := self._whole.get(token)) is None:
-            if len(self._whole) > self.max_cached:
-                self._whole.clear()
+            self._whole.grown(ENTRY)
             known = self._whole[token] = token in self.vocab and self._merge(self._parts(token)) == [token]
         return known
 
@@ -98,8 +169,7 @@ class WordBpe:
         with the rank of the merge that takes it up. A token's parts have lower ranks than the token."""
         known = self._edges[side]
         if (found := known.get(token)) is None:
-            if len(known) > self.max_cached:
-                known.clear()
+            known.grown(10 * ENTRY)
             found, rank = [], 1 << 60
             while True:
                 found.append((token, rank))
@@ -114,8 +184,7 @@ class WordBpe:
     def _can_follow(self, first: str, then: str) -> bool:
         """Whether no merge crosses from one token to the other while both are made."""
         if (known := self._follows.get((first, then))) is None:
-            if len(self._follows) > self.max_cached:
-                self._follows.clear()
+            self._follows.grown(ENTRY)
             left, right, rank = self._edge(first, 1), self._edge(then, 0), self.rank
             i = j = 0
             known = True
@@ -150,33 +219,27 @@ class WordBpe:
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word (byte symbols) as little-endian 32-bit integers."""
-        root: dict = {}
-        deepest = 0
-        for word in words:
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
-            deepest = max(deepest, len(word))
         out: dict[str, bytes] = {}
-        last = [""] * (deepest + 1)  # by depth, along the path to the node at hand
-        stack: list[tuple[dict, int, str]] = [(child, 1, c) for c, child in root.items() if c]
-        vocab, end, skip = self.vocab, self.end, len(self.end)
-        while stack:
-            node, depth, tail = stack.pop()
-            if "" in node:
-                token = self._last(tail, depth, last, end)
-                ids, at = [vocab[token]], depth - len(token) + skip
-                while at:
-                    ids.append(vocab[last[at]])
-                    at -= len(last[at])
-                out[node[""]] = np.array(ids[::-1], "<u4").tobytes()
-                if len(node) == 1:
-                    continue
-            last[depth] = self._last(tail, depth, last, "")
-            for c, child in node.items():
-                if c:
-                    stack.append((child, depth + 1, (tail + c)[-self.longest :]))
+        vocab, end, skip, longest = self.vocab, self.end, len(self.end), self.longest
+        last: list[str] = [""]  # by depth, along the path to the word at hand
+        before = ""
+        for word in sorted(words):
+            same = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                same += 1
+            size = len(word)
+            del last[same + 1 :]
+            for depth in range(len(last), size):  # the nodes that the word adds to the trie
+                last.append(self._last(word[max(0, depth - longest) : depth], depth, last, ""))
+            token = self._last(word[max(0, size - longest) :], size, last, end)
+            ids, at = [vocab[token]], size - len(token) + skip
+            while at:
+                ids.append(vocab[last[at]])
+                at -= len(last[at])
+            out[word] = np.array(ids[::-1], "<u4").tobytes()
+            before = word
         return out
 
     # -- texts ------------------------------------------------------------------------
@@ -204,112 +267,163 @@ class WordBpe:
         found = self.encode_words(set(spelled))
         return [found[w] for w in spelled]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        split = [self._split(p) for p in pieces]
-        known = self._word
-        if len(known) > self.max_cached:
-            known.clear()
-        if new := list({w for ws in split for w in ws if w not in known}):
-            known.update(zip(new, self._new_words(new), strict=True))
-        return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split]
-
-    def encode_block(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        known: dict = self._piece
-        if len(known) > self.max_cached:
-            known.clear()
-        for k in self.special.values():
-            known[k] = np.array([k], "<u4").tobytes()
-        cut: list[list] = []
-        for text in texts:
-            parts: list = []
-            for k, part in enumerate(self.split_special.split(text) if self.split_special and "<" in text else (text,)):
-                if k % 2:
-                    parts.append(self.special[part])
-                else:
-                    part = self.normal(part)
-                    parts += [p for p in UNICODE_SPACE.split(part) if p] if ODD_SPACE.search(part) else part.split()
-            cut.append(parts)
-        if new := list(set().union(*cut).difference(known)):
-            known.update(zip(new, self.encode_pieces(new), strict=True))
-        return [b"".join([known[p] for p in parts]) for parts in cut]
-
-    def decode(self, ids: np.ndarray) -> str:
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece without white space."""
+        found = self._piece.values(pieces)
+        rest = [k for k, x in enumerate(found) if x is None]
+        split = [self._split(pieces[k]) for k in rest]
+        every = list({w for ws in split for w in ws})
+        ids = dict(zip(every, self._word.values(every), strict=True))
+        if new := [w for w, x in ids.items() if x is None]:
+            made = dict(zip(new, self._new_words(new), strict=True))
+            ids.update(made)
+            self._word.add(made)
+        made = {pieces[k]: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for k, ws in zip(rest, split, strict=True)}
+        self._piece.add(made)
+        for k in rest:
+            found[k] = made[pieces[k]]
+        return found
+
+    def _plain(self, texts: pa.Array) -> Encoded:
+        """Of texts without special tokens."""
+        lower = pc.ascii_lower(texts)
+        odd = np.flatnonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False))
+        if len(odd):
+            made = [self.normal(t) for t in texts.take(pa.array(odd)).to_pylist()]
+            made = [UNICODE_SPACE.sub(" ", t) if OTHER_SPACE.search(t) else t for t in made]
+            lower = pc.replace_with_mask(lower, pa.array(np.bincount(odd, minlength=len(texts)).astype(bool)), pa.array(made, pa.string()))
+        lists = pc.ascii_split_whitespace(lower)
+        pieces = lists.flatten().dictionary_encode()
+        found = self._encode_pieces(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        at = pieces.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat((begins[at] - ends[:-1]).astype(np.int32), n)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[places]
+        return Encoded(ids, np.diff(ends[lists.offsets.to_numpy()]))
+
+    def encode_block(self, texts: pa.Array) -> Encoded:
+        """Ids of each text."""
+        cut = {}
+        if self.split_special:
+            for k in np.flatnonzero(pc.match_substring(texts, "<").to_numpy(zero_copy_only=False)).tolist():
+                parts = self.split_special.split(texts[k].as_py())
+                if len(parts) > 1:
+                    cut[k] = parts
+        if not cut:
+            return self._plain(texts)
+        parts = [cut.get(k) or [texts[k].as_py()] for k in range(len(texts))]
+        found = self._plain(pa.array([x for p in parts for x in p[::2]], pa.string()))
+        ids = iter(np.split(found.ids, np.cumsum(found.counts)[:-1]))
+        joined = [np.concatenate([np.array([self.special[x]], np.uint32) if j % 2 else next(ids) for j, x in enumerate(p)]) for p in parts]
+        return Encoded(np.concatenate(joined), np.array([len(x) for x in joined]))
+
+    def decode(self, encoded: Encoded) -> pa.Array:
         """What the library gives for a file without a decoder: the tokens joined by spaces."""
-        token = self.token
-        return " ".join([token[k] for k in ids.tolist()])
+        return pc.binary_join(_looked_up(encoded, self.tokens), " ")
+
+    def spelled(self, encoded: Encoded) -> pa.Array:
+        """The ids in decimals, joined by spaces."""
+        return pc.binary_join(_looked_up(encoded, self.numbers), " ")
+
+
+def _looked_up(encoded: Encoded, table: pa.Array) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum(encoded.counts)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, table.take(pa.array(encoded.ids.astype(np.int32, copy=False))))
 
 
 class LibraryBpe(WordBpe):
-    """The same, with each distinct word encoded by the library's own model."""
+    """The same, with the words of new pieces encoded by the library's own model, many in one call."""
 
-    def __init__(self, path: str, max_cached: int = MAX_CACHED):
+    def __init__(self, path: str, max_held: int = 2 * MAX_HELD):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__(path, max_cached)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        tokenize, symbols = self.library.model.tokenize, self._symbols
-        return [np.array([t.id for t in tokenize(symbols(w))], "<u4").tobytes() for w in words]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(path, max_held)
+        self.library = Tokenizer(Tokenizer.from_file(path).model)
+        self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # between words; no symbol of a byte is white space
+        self.ends_word = np.array([t.endswith(self.end) for t in self.token])
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found = self._piece.values(pieces)
+        rest = [k for k, x in enumerate(found) if x is None]
+        if rest:
+            new = [pieces[k] for k in rest]
+            split = [[p] if p.isalpha() else self.words(p) for p in new]
+            words = " ".join([w for ws in split for w in ws])
+            if not (words.isascii() and words.isprintable()):
+                words = " ".join([self._symbols(w) for ws in split for w in ws])
+            ids = np.array(self.library.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
+            word_ends = np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])
+            ends = (4 * word_ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]).tolist()
+            raw = ids.tobytes()
+            made = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            self._piece.add(dict(zip(new, made, strict=True)))
+            for k, x in zip(rest, made, strict=True):
+                found[k] = x
+        return found
 
 
 _CODERS: dict[tuple[type, str], WordBpe] = {}
 
 
 def coder(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
-    """The worker's coder for a tokenizer file; it outlives the task."""
+    """The worker's coder for a tokenizer file; the vocabulary outlives the task."""
     if (kind, path) not in _CODERS:
         _CODERS[kind, path] = kind(path)
     return _CODERS[kind, path]
 
 
-def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts with their first index; each run has about `chars` code points, or one longer text."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield start, texts[start : k + 1]
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts with their first index; each run has at most `size` bytes, or one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, texts.slice(start, end - start)
+        start, before = end, int(ends[end - 1])
+
+
+def _sha256(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in texts.cast(pa.binary())], pa.string())
 
 
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    lengths = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
-    values = np.frombuffer(b"".join(encoded), "<i4")
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, pa.int32()))
+#: What `encode` can return besides the id column and n_tokens.
+COLUMNS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, kind: type[WordBpe] = WordBpe, end_id: int | None = None) -> DataFrame:
-    """Per row: the id column, `n_tokens` long and `ids` array<int> of the whole text, and with decode=True `decoded` string.
+def encode(df: DataFrame, tokenizer: str, *columns: str, id_col: str = "doc_id", text_col: str = "text", kind: type[WordBpe] = WordBpe, end_id: int | None = None) -> DataFrame:
+    """Per row: the id column, `n_tokens` long and the named columns (without names: ids).
 
-    tokenizer: a file of the tokenizers library. end_id: appended to each row's ids.
+    ids: array<int> of the whole text; decoded: their text; ids_sha256: lowercase hex
+    digest of the decimal ids joined by one space; decoded_sha256: of the decoded text
+    in UTF-8. tokenizer: a file of the tokenizers library. end_id: appended to each row's ids.
     A null or empty text has no ids and decodes to the empty string. Repeated rows stay
     and get the same ids. An empty table gives an empty table. Other columns than the
     two named are not looked at, so their names do not matter. A text of any length is
     encoded whole. Special tokens written out in a text become their ids, as in the library.
     """
+    columns = columns or ("ids",)
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids array<int>" + ", decoded string" * decode
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, " + ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer, kind)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, block in blocks(texts):
-                encoded = [x + tail for x in bpe.encode_block(block)]
-                columns = [batch.column(0).slice(start, len(block)), pa.array([len(x) // 4 for x in encoded], pa.int64()), id_lists(encoded)]
-                if decode:
-                    columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4")) for x in encoded], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids", "decoded"][: len(columns)])
+        with handed_back(bpe.clear):
+            for batch in batches:
+                for start, block in blocks(batch.column(1)):
+                    encoded = bpe.encode_block(block)
+                    if end_id is not None:
+                        encoded = Encoded(np.insert(encoded.ids, np.cumsum(encoded.counts), end_id), encoded.counts + 1)
+                    decoded = bpe.decode(encoded) if {"decoded", "decoded_sha256"} & {*columns} else None
+                    made = {"ids": encoded.lists, "decoded": lambda d=decoded: d, "ids_sha256": lambda e=encoded: _sha256(bpe.spelled(e)), "decoded_sha256": lambda d=decoded: _sha256(d)}
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), pa.array(encoded.counts, pa.int64()), *[made[c]() for c in columns]], [id_col, "n_tokens", *columns])
 
     return rows.mapInArrow(run, schema)
 
@@ -319,7 +433,7 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out_col: str
 
     @F.pandas_udf("string")
     def text(ids):
-        bpe = coder(tokenizer)
-        return ids.map(lambda x: None if x is None else bpe.decode(np.asarray(x, dtype=np.int64)))
+        token = coder(tokenizer).token
+        return ids.map(lambda x: None if x is None else " ".join([token[k] for k in x.tolist()]))
 
     return df.withColumn(out_col, text(F.col(ids_col)))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +17,29 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+@contextmanager
+def handed_back(*clear: Callable[[], object]) -> Iterator[None]:
+    """For what a task does in a worker that outlives it: at the end its tables are emptied and their memory goes back to the system."""
+    try:
+        yield
+    finally:
+        for f in clear:
+            f()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only this C library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests on one machine) a temporary folder of this machine is set.
+    Where it is unset, a temporary folder is set if all tasks run in this process (tests);
+    on a cluster that is an error, as executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linkspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -31,8 +31,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decode=True)
-    return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), "ids_sha256", "decoded_sha256")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

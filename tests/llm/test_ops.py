@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from linkspark.llm import bpe, cascade, cdc, dedup, langid, mixing, omh, pagediff, tokenfile, toxicity
 from linkspark.llm.queries import oracle_sql, queries, tokenizer_path
@@ -81,36 +83,51 @@ def test_mix_odd_rows(spark, odd, empty):
 
 
 def test_bpe_equals_the_library(spark, odd, library):
-    for r in bpe.encode(odd, tokenizer_path(), decode=True).join(odd.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
+    for r in bpe.encode(odd, tokenizer_path(), *bpe.COLUMNS).join(odd.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
 @pytest.mark.parametrize("kind", [bpe.WordBpe, bpe.LibraryBpe])
 def test_bpe_on_random_text(library, kind):
-    coder = kind(tokenizer_path(), max_cached=50)
+    coder = kind(tokenizer_path(), max_held=20_000)  # tables are emptied again and again
     rng = random.Random(4)
     alphabet = "aabcdeghinorstt'.,!?éÜßñ日本語ΑΣς̈ﬁİ \t\n\x1c\x85  012९٣<|>—😀​"
-    for k in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) + "<|endoftext|>x" * (k % 40 == 0)
-        assert np.frombuffer(coder.encode_block([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for k in range(300):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) + "<|endoftext|>x" * (n == k % 40) for n in range(10)]
+        found = coder.encode_block(pa.array(["not looked at", *texts]).slice(1))
+        for text, ids in zip(texts, np.split(found.ids, np.cumsum(found.counts)[:-1]), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_word_of_any_length_needs_the_states_of_one_path():
+    coder = bpe.WordBpe(tokenizer_path())
+    word = "abcdefghij" * 30_000
+    tracemalloc.start()
+    found = coder.encode_block(pa.array([word, word[:-1] + " x"]))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20 and found.counts.min() > 1000
+    tracemalloc.stop()
+    assert coder.decode(found)[0].as_py().replace(" ", "") == word + "</w>"
+    coder.clear()
+    assert not coder._piece.new and not coder._word.new and not coder._follows
 
 
 def test_bpe_empty_and_decode(spark, empty):
-    assert bpe.encode(empty, tokenizer_path(), decode=True).count() == 0
-    df = bpe.encode(spark.createDataFrame([(1, "Some text, here")], "doc_id bigint, text string"), tokenizer_path(), decode=True)
+    assert bpe.encode(empty, tokenizer_path()).count() == 0
+    df = bpe.encode(spark.createDataFrame([(1, "Some text, here")], "doc_id bigint, text string"), tokenizer_path(), "ids", "decoded")
     r = bpe.decode(df, tokenizer_path(), out_col="again").first()
     assert r.again == r.decoded
 
 
 def test_token_files(spark, odd, library, tmp_path):
     path = f"file://{tmp_path}/tokens"
-    tokenfile.write_tokens(odd, path, tokenizer_path())
-    got = tokenfile.starts(spark, path).join(tokenfile.checksums(spark, path), ["file_", "row_"]).orderBy("start").collect()
+    tokenfile.write_tokens(odd, path, tokenizer_path(), rows_per_file=3)
+    got = tokenfile.starts(tokenfile.checksums(spark, path), tokenfile.file_sums(spark, path)).orderBy("start").collect()
     start = 0
     for r, (doc, text) in zip(got, sorted((r.doc_id, r.text or "") for r in odd.collect()), strict=True):
         ids = [*library.encode(text, add_special_tokens=False).ids, 1]
-        assert (r.doc_id, r.start, r.n_ids, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     import pyarrow.parquet as pq
 
@@ -124,7 +141,7 @@ def test_token_files(spark, odd, library, tmp_path):
 def test_token_files_of_an_empty_table(spark, empty, tmp_path):
     path = f"file://{tmp_path}/none"
     tokenfile.write_tokens(empty, path, tokenizer_path())
-    assert tokenfile.starts(spark, path).count() == 0
+    assert tokenfile.starts(tokenfile.checksums(spark, path), tokenfile.file_sums(spark, path)).count() == 0
 
 
 # -- 3 ----------------------------------------------------------------------------------
