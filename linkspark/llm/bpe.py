@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import handed_back
+from linkspark.llm.common import mapped
 
 #: Bytes that the words of each table of a worker may take, with what Python adds to them.
 MAX_HELD = 64 << 20
@@ -415,17 +415,16 @@ def encode(df: DataFrame, tokenizer: str, *columns: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer, kind)
-        with handed_back(bpe.clear):
-            for batch in batches:
-                for start, block in blocks(batch.column(1)):
-                    encoded = bpe.encode_block(block)
-                    if end_id is not None:
-                        encoded = Encoded(np.insert(encoded.ids, np.cumsum(encoded.counts), end_id), encoded.counts + 1)
-                    decoded = bpe.decode(encoded) if {"decoded", "decoded_sha256"} & {*columns} else None
-                    made = {"ids": encoded.lists, "decoded": lambda d=decoded: d, "ids_sha256": lambda e=encoded: _sha256(bpe.spelled(e)), "decoded_sha256": lambda d=decoded: _sha256(d)}
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), pa.array(encoded.counts, pa.int64()), *[made[c]() for c in columns]], [id_col, "n_tokens", *columns])
-
-    return rows.mapInArrow(run, schema)
+        for batch in batches:
+            for start, block in blocks(batch.column(1)):
+                encoded = bpe.encode_block(block)
+                if end_id is not None:
+                    encoded = Encoded(np.insert(encoded.ids, np.cumsum(encoded.counts), end_id), encoded.counts + 1)
+                decoded = bpe.decode(encoded) if {"decoded", "decoded_sha256"} & {*columns} else None
+                made = {"ids": encoded.lists, "decoded": lambda d=decoded: d, "ids_sha256": lambda e=encoded: _sha256(bpe.spelled(e)), "decoded_sha256": lambda d=decoded: _sha256(d)}
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), pa.array(encoded.counts, pa.int64()), *[made[c]() for c in columns]], [id_col, "n_tokens", *columns])
+
+    return mapped(rows, run, schema, lambda: coder(tokenizer, kind).clear())
 
 
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.common import mapped
 from linkspark.llm.order import dealt
 
 
@@ -185,4 +186,4 @@ def edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule
             yield batch_of()
 
     schema = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt_rows.select("range_", "extra_", F.col(id_col).cast("long"), "text_").mapInArrow(run, schema)
+    return mapped(dealt_rows.select("range_", "extra_", F.col(id_col).cast("long"), "text_"), run, schema)

@@ -3,31 +3,45 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The ASCII white space that the contracts name: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
 
 
-@contextmanager
-def handed_back(*clear: Callable[[], object]) -> Iterator[None]:
-    """For what a task does in a worker that outlives it: at the end its tables are emptied and their memory goes back to the system."""
-    try:
-        yield
-    finally:
-        for f in clear:
-            f()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # only this C library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+#: Rows of a batch that goes to a Python worker, where the session has no number of its own: texts are long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, *clear: Callable[[], object]) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of BATCH_ROWS rows, for workers that outlive a task: at its
+    end `clear` empties their tables, and the memory goes back to the system."""
+    if df.sparkSession.conf.get(_BATCH) == "10000":  # Spark's own
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def handed_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in clear:
+                f()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only this C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(handed_back, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm.cascade import host_and_path
-from linkspark.llm.common import share_below, stored
+from linkspark.llm.common import mapped, share_below, stored
 
 #: Labelled documents that a fit reads at most, about, and trigrams it keeps for each language.
 MAX_FIT, MAX_GRAMS = 4000, 20_000
@@ -72,7 +72,7 @@ def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     known = documents.filter(F.col(lang_col).isNotNull())
     sample = known.filter(share_below(known, id_col, max_fit)).select(F.col(text_col), F.col(lang_col))
-    counts = sample.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = mapped(sample, run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank_", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank_") <= MAX_GRAMS)
     rows = top.select("lang", "gram", "n").collect()  # MAX_GRAMS for each language
     languages = tuple(sorted({r.lang for r in rows}))
@@ -110,7 +110,7 @@ def evidence(pages: DataFrame, model: TextModel, *, id_col: str = "page_id", url
 
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), F.col(html_col))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, host string, declared string, text array<double>")
+    return mapped(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, host string, declared string, text array<double>")
 
 
 def identify(pages: DataFrame, model: TextModel, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import stored
+from linkspark.llm.common import mapped, stored
 from linkspark.llm.components import PER_TASK, components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,7 +40,8 @@ SLOT_BITS, BLOCK_BITS = 20, 14
 #: Texts of large buckets that a task counts at least.
 COUNTED = 5_000
 WORD = re.compile(r"[^\W_]+")
-MAX_CACHED = 500_000
+#: Words whose hashes a worker keeps.
+MAX_CACHED = 200_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(np.uint64)
@@ -48,9 +49,22 @@ _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, SHIN
 _words: dict[str, int] = {}
 
 
+def forget() -> None:
+    """Empties the worker's table of words."""
+    _words.clear()
+
+
+def words_of(text: str) -> list[str]:
+    """The text's lower-case words."""
+    return WORD.findall(text.lower())
+
+
 def word_hashes(text: str) -> np.ndarray:
     """32-bit hashes of the text's lower-case words."""
-    found = WORD.findall(text.lower())
+    return hashed(words_of(text))
+
+
+def hashed(found: list[str]) -> np.ndarray:
     if len(_words) > MAX_CACHED:
         _words.clear()
     try:
@@ -140,9 +154,10 @@ def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 classes, counts, keys = [], [], []
                 for text in part.column(1).to_pylist():
-                    words = word_hashes(text)
-                    if len(words):
-                        classes.append(xxhash.xxh3_128_digest(words.tobytes()))
+                    found = words_of(text)
+                    words = hashed(found)
+                    if found:
+                        classes.append(xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "surrogatepass")))
                         counts.append(max(1, len(words) - SHINGLE + 1))
                         keys.append(sketch(words))
                     else:
@@ -154,7 +169,7 @@ def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array(counts, pa.int32()), lists], ["doc", "class_", "n", "keys"])
 
     rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return rows.mapInArrow(run, f"doc {rows.schema[0].dataType.simpleString()}, class_ binary, n int, keys array<bigint>")
+    return mapped(rows, run, f"doc {rows.schema[0].dataType.simpleString()}, class_ binary, n int, keys array<bigint>", forget)
 
 
 def sequences(df: DataFrame, docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -169,7 +184,7 @@ def sequences(df: DataFrame, docs: DataFrame, *, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc", "words"])
 
     rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(docs.hint("merge"), "doc", "left_semi")
-    return rows.mapInArrow(run, f"doc {rows.schema[0].dataType.simpleString()}, words array<int>")
+    return mapped(rows, run, f"doc {rows.schema[0].dataType.simpleString()}, words array<int>", forget)
 
 
 def _labels(words: pa.ListScalar) -> np.ndarray:
@@ -199,7 +214,7 @@ def verified(pairs: DataFrame, sequence: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return mapped(both, run, f"a {kind}, b {kind}")
 
 
 def counted(sequence: DataFrame, docs: DataFrame) -> np.ndarray:
@@ -223,7 +238,7 @@ def counted(sequence: DataFrame, docs: DataFrame) -> np.ndarray:
     kind = "block int, counts array<bigint>"
     rows = sequence.join(docs, "doc", "left_semi").select("words").coalesce(1 + docs.count() // COUNTED)
     slots = np.zeros((1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int32)
-    for r in rows.mapInArrow(count, kind).repartition("block").mapInArrow(total, kind).collect():  # a number for each slot
+    for r in mapped(mapped(rows, count, kind).repartition("block"), total, kind).collect():  # a number for each slot
         slots[r.block] = np.minimum(r.counts, 2**31 - 1)
     return slots.reshape(-1)
 
@@ -253,7 +268,7 @@ def unlinked(docs: DataFrame, sequence: DataFrame, label: DataFrame, least: floa
                     yield pa.RecordBatch.from_arrays([docs_at, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(left), pa.int32()), pa.array(np.concatenate(sizes), pa.int32())], ["doc", "key", "left", "n"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    rows = sequence.join(docs, "doc", "left_semi").mapInArrow(run, f"doc {kind}, key bigint, left int, n int")
+    rows = mapped(sequence.join(docs, "doc", "left_semi"), run, f"doc {kind}, key bigint, left int, n int")
     rows = rows.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "left", "n", F.coalesce("component", "doc").alias("own"))
     rows = stored(rows, "prefixes")
     # keys of one component have no pair

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm.cascade import host_and_path
+from linkspark.llm.common import mapped
 from linkspark.llm.order import dealt
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|object|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
@@ -213,4 +214,4 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = f"`{id_col}` bigint, url string, text string, n_chars bigint, n_shared bigint"
-    return ordered.select("range_", "extra_", "id_", "url_", "host_", "path_", "html_").mapInArrow(run, schema)
+    return mapped(ordered.select("range_", "extra_", "id_", "url_", "host_", "path_", "html_"), run, schema)

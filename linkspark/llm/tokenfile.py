@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm.bpe import LibraryBpe, encode
-from linkspark.llm.common import new_path
+from linkspark.llm.common import mapped, new_path
 from linkspark.llm.order import cuts_of, placed
 
 ROW_GROUP_BYTES = 8 << 20
@@ -95,7 +95,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     rows = read_tokens(spark, path)
     id_col = rows.columns[0]
     names = [id_col, "file_", "row_", "n_tokens", "ids_crc32"]
-    return rows.select(id_col, "file_", "row_", "ids").mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, file_ int, row_ bigint, n_tokens bigint, ids_crc32 bigint")
+    return mapped(rows.select(id_col, "file_", "row_", "ids"), run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, file_ int, row_ bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def digest(documents: DataFrame, tokenizer: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import share_below, stored
+from linkspark.llm.common import mapped, share_below, stored
 
 #: Labelled rows that a fit reads at most, about; chosen by hash.
 MAX_FIT = 6000
@@ -34,7 +34,7 @@ PREFIXES = (4, 5, 6)
 #: Texts with fewer rows than this share of the fit's have no feature of their own.
 LEAST_ROWS = 4
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
-MAX_CACHED = 300_000
+MAX_CACHED = 150_000
 
 
 def token_features(token: str) -> list[int]:
@@ -123,7 +123,7 @@ def _selected(rows: DataFrame, categories: Sequence[str], most: int = MAX_FEATUR
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     names = ["feature", "n", *(f"y{k}" for k in range(len(categories)))]
-    counts = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    counts = mapped(rows, run, ", ".join(f"{c} bigint" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]])
     shares = [min(max((y or 0) / max(n, 1), 1e-6), 1 - 1e-6) for y in ones]
     chi = [F.pow(F.col(f"y{k}") - F.col("n") * s, 2) / (F.col("n") * (s * (1 - s))) for k, s in enumerate(shares)]
     best = F.greatest(*chi, F.lit(0.0))
@@ -142,7 +142,7 @@ def _matrix(rows: DataFrame, categories: Sequence[str], names: np.ndarray) -> tu
             flat = np.array([f for x in found for f in x], np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *batch.columns[1:]], ["features", *categories])
 
-    table = rows.mapInArrow(run, "features array<int>, " + ", ".join(f"`{c}` int" for c in categories)).toArrow().combine_chunks()
+    table = mapped(rows, run, "features array<int>, " + ", ".join(f"`{c}` int" for c in categories)).toArrow().combine_chunks()
     if not table.num_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(categories)))
     lists = table.column("features").combine_chunks()
@@ -242,7 +242,7 @@ def score(df: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str
 
     rows = df.select(id_col, text_col)
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in columns) + ", reject boolean"
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def without_toxic(df: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFrame:
@@ -254,4 +254,4 @@ def without_toxic(df: DataFrame, chain: Chain, *, text_col: str = "text") -> Dat
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(at))[:, -1] <= chain.threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
