@@ -1,10 +1,13 @@
 """Document fingerprints by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes of a text; where its low bits are zero a chunk
+A gear hash rolls over the UTF-8 bytes of a text; where its high bits are zero a chunk
 may end. Chunks are normalised: below the wanted length more bits must be zero than
 above it, between a least and a greatest length. An insertion moves only the
 boundaries near it, so the set of chunk digests resists shifts. A fingerprint is that
 set, each digest with its chunk's length, and likeness weighs shared chunks by length.
+
+Texts of all lengths are cut by one rule, into short chunks, so that a text of few
+bytes has several too and any two fingerprints can be compared.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from linkspark.llm.common import mapped
 from linkspark.llm.order import dealt
@@ -26,29 +30,30 @@ from linkspark.llm.order import dealt
 class Chunking(NamedTuple):
     """Lengths in bytes; strict_bits and loose_bits must be zero before and after the wanted length."""
 
-    least: int = 16
-    wanted: int = 40
-    greatest: int = 160
-    strict_bits: int = 6
-    loose_bits: int = 4
+    least: int = 4
+    wanted: int = 12
+    greatest: int = 48
+    strict_bits: int = 4
+    loose_bits: int = 3
 
 
-#: For texts under SHORT bytes, besides the usual chunks.
-FINE, SHORT = Chunking(2, 5, 16, 3, 2), 1024
-GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
-#: Bytes of the lengths in a fingerprint's entry; the digest has the rest of 64 bits.
+#: Bytes that the rolling hash sees, which has as many bits.
+WINDOW = 16
+GEAR = np.random.default_rng(20).integers(0, 1 << WINDOW, 256, dtype=np.uint64).astype(np.uint16)
+#: Low bits of an entry that hold the chunk's length in bytes; the digest has the other bits.
 LENGTH_BITS = 16
-#: Set in the length of an entry of a FINE chunk.
-FINE_BIT = 1 << (LENGTH_BITS - 1)
+#: Values of bytes, and factors of places in a chunk, for digests.
+_VALUES = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_ODD = 0x9E3779B97F4A7C15
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At each byte, the sum of the gear values of the last 32 bytes, each shifted by its distance (modulo 2**32)."""
+    """At each byte, the sum of the gear values of the last WINDOW bytes, each shifted by its distance (modulo 2**WINDOW)."""
     h = GEAR[data]
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4, 8):
         if len(h) > step:
             moved = h.copy()
-            moved[step:] += h[:-step] << np.uint32(step)
+            moved[step:] += h[:-step] << np.uint16(step)
             h = moved
     return h
 
@@ -60,15 +65,15 @@ def boundaries(data: bytes, rule: Chunking = Chunking()) -> list[int]:
         return []
     h = gear_hashes(np.frombuffer(data, np.uint8))
     # the high bits see the whole window
-    loose = np.flatnonzero(h >> np.uint32(32 - rule.loose_bits) == 0) + 1
-    strict = (h[loose - 1] >> np.uint32(32 - rule.strict_bits) == 0).tolist()
+    loose = np.flatnonzero(h >> np.uint16(WINDOW - rule.loose_bits) == 0) + 1
+    strict = (h[loose - 1] >> np.uint16(WINDOW - rule.strict_bits) == 0).tolist()
     loose = loose.tolist()
-    ends, start, k, m = [], 0, 0, len(loose)
-    while n - start > rule.least:
-        low, mid, high = start + rule.least, start + rule.wanted, start + rule.greatest
-        while k < m and loose[k] < low:
-            k += 1
-        j = k
+    least, wanted, greatest = rule.least, rule.wanted, rule.greatest
+    ends, start, j, m = [], 0, 0, len(loose)
+    while n - start > least:
+        low, mid, high = start + least, start + wanted, start + greatest
+        while j < m and loose[j] < low:
+            j += 1
         while j < m and loose[j] < mid and not strict[j]:
             j += 1
         end = loose[j] if j < m and loose[j] < high else high
@@ -81,29 +86,29 @@ def boundaries(data: bytes, rule: Chunking = Chunking()) -> list[int]:
 
 
 def fingerprint(data: bytes, rule: Chunking = Chunking()) -> np.ndarray:
-    """The sorted distinct entries digest << LENGTH_BITS | length of data's chunks. Data under SHORT bytes,
-    which has few chunks, is also chunked by FINE, and has the entries of both; FINE_BIT tells them apart."""
-    entries = set()
-    digest = hashlib.blake2b
-    for k, one in enumerate((rule, FINE) if len(data) < SHORT else (rule,)):
-        start = 0
-        for end in boundaries(data, one):
-            entries.add(int.from_bytes(digest(data[start:end], digest_size=6, salt=b"%d" % k).digest(), "little") << LENGTH_BITS | FINE_BIT * k | min(end - start, FINE_BIT - 1))
-            start = end
-    out = np.fromiter(entries, np.uint64, len(entries))
-    out.sort()
-    return out
+    """The sorted distinct entries digest << LENGTH_BITS | length of data's chunks.
+
+    A digest is a mixed sum of a random value of each byte times an odd factor of its place in the chunk.
+    """
+    ends = np.array(boundaries(data, rule), np.int64)
+    if not len(ends):
+        return np.zeros(0, np.uint64)
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes = ends - starts
+    factors = np.array([pow(_ODD, k + 1, 1 << 64) for k in range(rule.greatest)], np.uint64)
+    places = np.arange(len(data)) - np.repeat(starts, sizes)
+    x = np.add.reduceat(_VALUES[np.frombuffer(data, np.uint8)] * factors[places], starts)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return np.unique(x >> np.uint64(LENGTH_BITS) << np.uint64(LENGTH_BITS) | sizes.astype(np.uint64))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The length of the shared chunks over that of the smaller set; two empty sets are alike, an empty one is like no other.
-    FINE chunks count only where both texts have them."""
+    """The length of the shared chunks over that of the smaller set; two empty sets are alike, an empty one is like no other."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    fine_a, fine_b = (x & np.uint64(FINE_BIT) > 0 for x in (a, b))
-    if fine_a.any() != fine_b.any():
-        a, b = a[~fine_a], b[~fine_b]
-    mask = np.uint64(FINE_BIT - 1)
+    mask = np.uint64((1 << LENGTH_BITS) - 1)
     total = lambda x: float((x & mask).sum())
     return total(np.intersect1d(a, b, assume_unique=True)) / min(total(a), total(b))
 
@@ -133,14 +138,18 @@ def edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule
     as many of the next row's text, by descending id; after the last comes the first. A
     single row is its own next one. Null text counts as empty. Rows that share an id are
     ordered by the text's hash, null ids come last. Other columns are not looked at.
+    Texts of any length are read whole. An empty table gives an empty one. Ids must be
+    whole numbers.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number")
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
     top = rows.agg(F.max(id_col)).first()[0]
-    key = F.coalesce(-F.col(id_col), F.lit((1 << 63) - 1)).cast("long")
+    key = F.coalesce(F.bitwise_not(F.col(id_col).cast("long")), F.lit((1 << 63) - 1))  # descending, for the least long too
     # the first of the order, who follows the last: texts of one id
     first = rows.filter(F.col(id_col).eqNullSafe(top)).select("text_").orderBy(F.xxhash64("text_")).first()
     dealt_rows = dealt(rows, key, rows_per_range)
-    dealt_rows = dealt_rows.sortWithinPartitions("range_", "extra_", "key_", F.xxhash64("text_"))
+    dealt_rows = dealt_rows.sortWithinPartitions("range_", "extra_", "key_", F.col(id_col).asc_nulls_last(), F.xxhash64("text_"))
     round_again = dealt_rows.sparkSession.sparkContext.broadcast(first[0] if first else None)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -178,7 +187,7 @@ def edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule
                 held = None if extra else (place, doc, text, own)
                 if extra:
                     ended = place
-                if len(out) >= 500:
+                if len(out) >= 200:
                     yield batch_of()
         if held is not None:
             finish(held, round_again.value, print_of(round_again.value))

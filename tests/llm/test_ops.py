@@ -379,25 +379,67 @@ def test_fingerprints(spark, odd):
     assert cdc.edits(odd).count() == odd.count() and cdc.edits(odd.limit(0)).count() == 0
 
 
+def boundaries_by_byte(data, rule=cdc.Chunking()):
+    """The ends of chunks, byte by byte from the definition."""
+    ends, start = [], 0
+    for at in range(1, len(data) + 1):
+        h = sum(int(cdc.GEAR[data[at - 1 - k]]) << k for k in range(min(at, cdc.WINDOW))) % (1 << cdc.WINDOW)
+        size = at - start
+        bits = rule.strict_bits if size < rule.wanted else rule.loose_bits
+        if at == len(data) or size == rule.greatest or size >= rule.least and h >> (cdc.WINDOW - bits) == 0:
+            ends.append(at)
+            start = at
+    return ends
+
+
+def test_boundaries_equal_a_scan_by_bytes():
+    for k in range(60):
+        text = " ".join(random_words(1 + 7 * k, k))
+        for data in (text.encode(), ("é" * k + text).encode(), b"a" * (3 * k)):
+            assert cdc.boundaries(data) == boundaries_by_byte(data)
+
+
+def test_equal_chunks_have_equal_entries():
+    rng = random.Random(5)
+    for _ in range(30):
+        data = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(600)))
+        ends = cdc.boundaries(data)
+        assert len(cdc.fingerprint(data)) == len({data[a:b] for a, b in zip([0, *ends], ends, strict=False)})
+
+
 def test_chunks_resist_shifts_and_measure_containment():
     text = " ".join(random_words(3000, 1)).encode()
     assert b"".join(text[a:b] for a, b in zip([0, *cdc.boundaries(text)], cdc.boundaries(text), strict=False)) == text
-    sizes = np.diff([0, *cdc.boundaries(text)])
-    assert sizes[:-1].min() >= 16 and sizes.max() <= 160
+    rule, sizes = cdc.Chunking(), np.diff([0, *cdc.boundaries(text)])
+    assert sizes[:-1].min() >= rule.least and sizes.max() <= rule.greatest
     own = cdc.fingerprint(text)
     assert cdc.likeness(own, cdc.fingerprint(b"inserted " + text)) > 0.98
     assert cdc.likeness(own, cdc.fingerprint(text[: len(text) // 2])) > 0.97
-    assert cdc.likeness(own, cdc.fingerprint(" ".join(random_words(3000, 2)).encode())) < 0.05
+    unlike = "".join(random.Random(3).choices("abcdefghij klmnop", k=20_000)).encode()
+    assert cdc.likeness(own, cdc.fingerprint(unlike)) < 0.05
     assert (cdc.parsed(cdc.spelled(own)) == own).all()
 
 
-def test_a_short_text_inside_a_long_one_measures_as_a_longer_one_does():
-    means = {}
-    for n in (900, 1100):
-        texts = [" ".join(random_words(2000, seed)).encode()[:2000] for seed in range(40)]
-        means[n] = np.mean([cdc.likeness(cdc.fingerprint(t[400 : 400 + n]), cdc.fingerprint(t)) for t in texts])
-        assert cdc.likeness(cdc.fingerprint(texts[0][:n]), cdc.fingerprint(texts[1])) < 0.05
-    assert min(means.values()) > 0.85 and abs(means[900] - means[1100]) < 0.05
+def test_likeness_of_a_part_does_not_jump_at_any_length():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnop   ", k=4000)).encode() for _ in range(30)]
+    means = []
+    for n in [*range(200, 3000, 100), 1023, 1024, 1025, 1536]:
+        means.append(np.mean([cdc.likeness(cdc.fingerprint(t[:n]), cdc.fingerprint(t[: 2 * n // 3])) for t in texts]))
+        assert cdc.likeness(cdc.fingerprint(texts[0][:n]), cdc.fingerprint(texts[1])) < 0.02
+    assert min(means) > 0.9
+    middle = [np.mean([cdc.likeness(cdc.fingerprint(t[400 : 400 + n]), cdc.fingerprint(t)) for t in texts]) for n in (300, 900, 1100, 2000)]
+    assert min(middle) > 0.85
+
+
+def test_fingerprints_of_extreme_ids(spark):
+    rows = [(-(1 << 63), "the least id"), ((1 << 63) - 1, "the greatest id"), (0, "in the middle of them"), (None, "without an id")]
+    got = {r.doc_id: r.near_next for r in cdc.edits(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_range=1).collect()}
+    text = dict(rows)
+    for doc, follows in (((1 << 63) - 1, 0), (0, -(1 << 63)), (-(1 << 63), None), (None, (1 << 63) - 1)):
+        assert got[doc] == cdc.likeness(*(cdc.fingerprint(text[x].encode()) for x in (doc, follows)))
+    with pytest.raises(TypeError):
+        cdc.edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # -- 10 ---------------------------------------------------------------------------------
