@@ -1,9 +1,9 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted in a fixed order; a later model sees the features of the text
-and the log odds that the models before it give. For fitting, those are out-of-fold
+and the probabilities that the models before it give. For fitting, those are out-of-fold
 predictions, so that a later model learns how far the earlier ones can be trusted on
-texts they have not seen. Models are logistic regressions with an L1 penalty over the
+texts they have not seen; the features of a fold's models are selected without its labels. Models are logistic regressions with an L1 penalty over the
 words of the whole text, their prefixes (for inflected or compounded words) and its
 runs of symbols, each by how often and how densely it occurs.
 """
@@ -30,7 +30,7 @@ MAX_FEATURES = 2000
 #: Tasks that read the sample.
 FIT_TASKS = 12
 FOLDS, PENALTY, STEPS = 3, 1.0, 120
-PREFIXES = (4, 5, 6)
+PREFIXES, SYMBOL_PREFIXES = (4, 5, 6), (3,)
 #: Texts with fewer rows than this share of the fit's have no feature of their own.
 LEAST_ROWS = 4
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
@@ -38,7 +38,7 @@ MAX_CACHED = 150_000
 
 
 def token_features(token: str) -> list[int]:
-    names = [token, *(f"{token[:n]}*" for n in PREFIXES if len(token) > n)] if token[0].isalpha() else [token[:3]]
+    names = [token, *(f"{token[:n]}*" for n in (PREFIXES if token[0].isalpha() else SYMBOL_PREFIXES) if len(token) > n)]
     return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in names]
 
 
@@ -65,14 +65,14 @@ class Chain(NamedTuple):
     features: np.ndarray  # hashes, sorted
     weights: np.ndarray  # a row for each category
     bias: np.ndarray
-    earlier: np.ndarray  # weights of the log odds of the categories before
+    earlier: np.ndarray  # weights of the probabilities of the categories before
     threshold: float  # of the last category
 
     def odds(self, features: np.ndarray) -> np.ndarray:
         """Log odds by category, for the places of a text's features."""
         out = np.zeros(len(self.categories))
         for k in range(len(out)):
-            out[k] = self.bias[k] + self.weights[k, features].sum() + self.earlier[k, :k] @ np.clip(out[:k], -8, 8)
+            out[k] = self.bias[k] + self.weights[k, features].sum() + self.earlier[k, :k] @ _sigmoid(out[:k])
         return out
 
 
@@ -106,81 +106,97 @@ def logistic(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], y: n
     return w, e, b
 
 
-def _selected(rows: DataFrame, categories: Sequence[str], most: int = MAX_FEATURES) -> np.ndarray:
-    """The features of rows (text_, labels) that say most about any category, by a chi-square against independence. Counts are
-    added up by task, then by feature; only the selected ones come to the driver."""
-    n, *ones = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in categories]).first()
+def _selected(rows: DataFrame, categories: Sequence[str], most: int) -> list[np.ndarray]:
+    """The features of rows (fold_, text_, labels) that say most about any category, by a chi-square against
+    independence: of the rows outside each fold, and at last of all rows. Counts are added up by task, then by
+    feature; only the selected ones come to the driver."""
+    width = 1 + len(categories)
+    sums = {r.fold_: [r.n, *(r[c] for c in categories)] for r in rows.groupBy("fold_").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).collect()}
+    sums = np.array([sums.get(f, [0] * width) for f in range(FOLDS)], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, list[int]] = {}
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            labels = [c.to_pylist() for c in batch.columns[1:]]
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                own = [1, *(y[k] for y in labels)]
+            labels = [c.to_pylist() for c in batch.columns[2:]]
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                fold = batch.column(0)[k].as_py()
+                own = np.array([1, *(y[k] for y in labels)])
                 for f in text_features(text):
-                    counts[f] = [x + y for x, y in zip(counts[f], own, strict=True)] if f in counts else own
-        columns = [list(counts), *map(list, zip(*counts.values(), strict=True))] if counts else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    names = ["feature", "n", *(f"y{k}" for k in range(len(categories)))]
-    counts = mapped(rows, run, ", ".join(f"{c} bigint" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    shares = [min(max((y or 0) / max(n, 1), 1e-6), 1 - 1e-6) for y in ones]
-    chi = [F.pow(F.col(f"y{k}") - F.col("n") * s, 2) / (F.col("n") * (s * (1 - s))) for k, s in enumerate(shares)]
-    best = F.greatest(*chi, F.lit(0.0))
-    top = counts.filter(F.col("n") >= min(LEAST_ROWS, n)).select("feature", best.alias("best")).filter("best > 0").orderBy(F.desc("best"), "feature").limit(most)
-    return np.array(sorted(r.feature for r in top.collect()), np.uint32)
-
-
-def _matrix(rows: DataFrame, categories: Sequence[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rows' selected features and labels on the driver: (row of each, place of each, labels)."""
+                    if f not in counts:
+                        counts[f] = np.zeros((FOLDS, width), np.int32)
+                    counts[f][fold] += own
+        flat = np.array(list(counts.values()), np.int64).reshape(len(counts), FOLDS * width)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), *[pa.array(x) for x in flat.T]], names)
+
+    cell = lambda f, k: f"c{f * width + k}"
+    names = ["feature", *(cell(f, k) for f in range(FOLDS) for k in range(width))]
+    counts = stored(mapped(rows, run, ", ".join(f"{c} bigint" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]]), "counts")
+    found = []
+    for left_out in [*range(FOLDS), None]:
+        folds = [f for f in range(FOLDS) if f != left_out]
+        n, *ones = sums[folds].sum(0)
+        of = [sum((F.col(cell(f, k)) for f in folds[1:]), F.col(cell(folds[0], k))) for k in range(width)]
+        shares = [float(min(max(y / max(n, 1), 1e-6), 1 - 1e-6)) for y in ones]
+        chi = [F.pow(F.col("n") * -s + F.col(f"y{k}"), 2) / (F.col("n") * (s * (1 - s))) for k, s in enumerate(shares)]
+        top = counts.select("feature", of[0].alias("n"), *[x.alias(f"y{k}") for k, x in enumerate(of[1:])])
+        top = top.filter(F.col("n") >= min(LEAST_ROWS, max(n, 1))).select("feature", F.greatest(*chi, F.lit(0.0)).alias("best")).filter("best > 0").orderBy(F.desc("best"), "feature").limit(most)
+        found.append(np.array(sorted(r.feature for r in top.collect()), np.uint32))
+    return found
+
+
+def _matrix(rows: DataFrame, categories: Sequence[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rows' selected features, folds and labels on the driver, in the order of their keys: (row of each feature, place of each, folds, labels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: k for k, f in enumerate(names.tolist())}
         for batch in batches:
-            found = [[place[f] for f in text_features(text) if f in place] for text in batch.column(0).to_pylist()]
+            found = [[place[f] for f in text_features(text) if f in place] for text in batch.column(2).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.array([f for x in found for f in x], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *batch.columns[1:]], ["features", *categories])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *batch.columns[3:]], ["key_", "fold_", "features", *categories])
 
-    table = mapped(rows, run, "features array<int>, " + ", ".join(f"`{c}` int" for c in categories)).toArrow().combine_chunks()
+    table = mapped(rows.select("key_", "fold_", "text_", *categories), run, "key_ bigint, fold_ int, features array<int>, " + ", ".join(f"`{c}` int" for c in categories)).toArrow().sort_by("key_").combine_chunks()
     if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(categories)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, int), np.zeros((0, len(categories)))
     lists = table.column("features").combine_chunks()
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
     y = np.stack([table.column(c).to_numpy() for c in categories], 1).astype(float)
-    return np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), y
+    return np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), table.column("fold_").to_numpy(), y
 
 
-def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), *, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> Chain:
+def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), *, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT, max_features: int = MAX_FEATURES) -> Chain:
     """A chain from a sample of about max_fit labelled rows; categories are 0/1 columns of labels, in the chain's order.
 
-    Rows with a null label are left out, ids without a document are too. Without any row
-    or with one class only, a category's probability is the share of its labels.
+    Rows with a null label are left out, ids without a document are too. Of labels that
+    contradict each other for an id the greater counts. Folds follow a hash of the id, so
+    reruns agree. Without any row or with one class only, a category's probability is
+    the share of its labels. max_features: of each fit, those that say most.
     """
-    known = labels.select(F.col(id_col), *categories).dropna().dropDuplicates([id_col])
+    known = labels.select(F.col(id_col), *categories).dropna().groupBy(id_col).agg(*[F.max(c).cast("int").alias(c) for c in categories])
     sample = known.filter(share_below(known, id_col, max_fit))
     text = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    rows = text.join(F.broadcast(sample), id_col).select("text_", *[F.col(c).cast("int").alias(c) for c in categories])
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).cast("int").alias("fold_")
+    rows = text.join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("key_"), fold, "text_", *categories)
     rows = stored(rows.repartition(FIT_TASKS), "labelled")
-    names = _selected(rows, categories)
-    row, column, y = _matrix(rows, categories, names)
+    selected = _selected(rows.select("fold_", "text_", *categories), categories, max_features)
+    names = np.unique(np.concatenate(selected))
+    row, column, folds, y = _matrix(rows, categories, names)
     n, k = len(y), len(categories)
     if not n:
         return Chain(tuple(categories), np.zeros(0, np.uint32), np.zeros((k, 0)), np.full(k, -8.0), np.zeros((k, k)), 0.5)
-    fold = np.random.default_rng(3).permutation(n) % FOLDS
-    shape = (n, len(names))
     weights, bias, earlier, outside = np.zeros((k, len(names))), np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
     for c in range(k):
-        extra = np.clip(outside[:, :c], -8, 8)
+        extra = _sigmoid(outside[:, :c])
         for f in range(FOLDS):
-            train, test = fold != f, fold == f
+            train, test = folds != f, folds == f
             if not train.any() or not test.any():
                 continue
             number = np.cumsum(train) - 1
-            here = train[row]
-            w, e, b = logistic(number[row[here]], column[here], (int(train.sum()), shape[1]), y[train, c], extra[train])
+            here = train[row] & np.isin(names, selected[f])[column]
+            w, e, b = logistic(number[row[here]], column[here], (int(train.sum()), len(names)), y[train, c], extra[train])
             outside[test, c] = (np.bincount(row, w[column], minlength=n) + extra @ e + b)[test]
-        weights[c], earlier[c, :c], bias[c] = logistic(row, column, shape, y[:, c], extra)
+        here = np.isin(names, selected[-1])[column]
+        weights[c], earlier[c, :c], bias[c] = logistic(row[here], column[here], (n, len(names)), y[:, c], extra)
     truth = y[:, -1] > 0
     order = np.argsort(-outside[:, -1], kind="stable")
     right = np.cumsum(truth[order])
@@ -192,7 +208,6 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("q
     return Chain(tuple(categories), names[some], weights[:, some], bias, earlier, threshold)
 
 
-
 class _Scorer:
     """Scores the texts of one task."""
 

@@ -254,6 +254,67 @@ def test_toxicity_on_held_out_rows(spark):
     recall = (got.reject & (got.toxic == 1)).sum() / (got.toxic == 1).sum()
     false = (got.reject & (got.toxic == 0)).sum() / (got.toxic == 0).sum()
     assert recall > 0.85 and false < 0.01
+    wide = toxicity.score(docs, toxicity.fit(docs, labels, max_features=2 * toxicity.MAX_FEATURES)).select("doc_id", F.col("reject").alias("wide"))
+    narrow = toxicity.score(docs, toxicity.fit(docs, labels)).join(wide, "doc_id")
+    assert narrow.filter("reject <> wide").count() <= 0.002 * docs.count()  # the bound on features hardly matters
+
+
+def plain_logistic(x, extra, y, steps=20_000):
+    """L1 logistic regression by many small proximal steps on dense columns; the penalty is on the columns of x alone."""
+    x, n = np.hstack([x, extra, np.ones((len(y), 1))]), x.shape[1]
+    w, rate = np.zeros(x.shape[1]), 4 / np.linalg.norm(x, 2) ** 2
+    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    if y.min() == y.max():
+        return w[:n], w[n:-1], w[-1]
+    for _ in range(steps):
+        w = w - rate * x.T @ (1 / (1 + np.exp(-x @ w)) - y)
+        w[:n] = np.sign(w[:n]) * np.maximum(np.abs(w[:n]) - rate * toxicity.PENALTY, 0)
+    return w[:n], w[n:-1], w[-1]
+
+
+def test_the_chain_equals_a_plain_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 3000)
+    monkeypatch.setattr(toxicity.logistic, "__defaults__", (toxicity.PENALTY, 3000))
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(90):
+        bad, poor = k % 3 == 0, k % 2
+        words = [rng.choice("tree house water stone road light".split()) for _ in range(12)]
+        words += ["rude"] * (bad and k % 4 > 0) + ["vile"] * (bad and k % 5 > 1) + ["sloppy"] * (poor and k % 7 > 0)
+        rows.append((k, " ".join(words), "en", "s", 0))
+        labels.append((k, 1 - poor, int(bad)))
+    docs, known = spark.createDataFrame(rows, DOC_SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    chain = toxicity.fit(docs, known)
+    fold = {r.doc_id: r.f for r in known.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    folds = np.array([fold[k] for k in range(90)])
+    y = np.array([x[1:] for x in labels], float)
+    features = [set(toxicity.text_features(r[1])) for r in rows]
+    names = sorted(set().union(*features))
+    x = np.array([[f in own for f in names] for own in features], float)
+
+    def usable(part):  # support and some relation to a category
+        n, sums = x[part].sum(0), y[part].mean(0)
+        chi = np.max([np.abs(x[part].T @ y[part, c] - n * sums[c]) for c in (0, 1)], 0)
+        return (n >= toxicity.LEAST_ROWS) & (chi > 1e-9)
+
+    extra, odds = np.zeros((90, 0)), []
+    for c in (0, 1):
+        outside = np.zeros(90)
+        for f in range(toxicity.FOLDS):
+            train, own = folds != f, usable(folds != f)
+            w, e, b = plain_logistic(x[train][:, own], extra[train], y[train, c])
+            outside[folds == f] = (x[:, own] @ w + extra @ e + b)[folds == f]
+        own = usable(np.ones(90, bool))
+        w, e, b = plain_logistic(x[:, own], extra, y[:, c])
+        odds.append((own, w, e, b))
+        extra = np.column_stack([extra, 1 / (1 + np.exp(-outside))])
+    p = np.zeros((90, 0))
+    for own, w, e, b in odds:
+        p = np.column_stack([p, 1 / (1 + np.exp(-(x[:, own] @ w + p @ e + b)))])
+    got = {r.doc_id: (r.p_quality, r.p_toxic) for r in toxicity.score(docs, chain).collect()}
+    assert np.abs(np.array([got[k] for k in range(90)]) - p).max() < 0.02
+    again = toxicity.fit(docs.repartition(3), known.unionByName(known.withColumns({"quality": F.lit(0), "toxic": F.lit(0)})))
+    assert (again.features == chain.features).all() and np.allclose(again.weights, chain.weights)  # of contradicting labels the greater counts
 
 
 def test_toxicity_odd_rows(spark, odd, empty):
