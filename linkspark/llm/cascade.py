@@ -12,17 +12,19 @@ keys; so all later levels work on sets of that size, whatever the corpus's.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Listed keys that a cascade holds at most (with the sets that build it, about 100 bytes a key
-#: on the driver); longer lists are matched by a semi-join instead, with the same answers.
-MAX_LISTED = 2_000_000
+from linkspark.llm.common import mapped, stored
+
+#: Keys of a level that are gathered on the driver (16 bytes each); larger levels are added up by Spark, as bits.
+LOCAL_KEYS = 100_000
 
 
 class Level(NamedTuple):
@@ -77,41 +79,74 @@ def _keys(rows) -> np.ndarray:
     return np.array([r[0] for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
 
 
-def build(universe: DataFrame, wanted: Iterable[str]) -> Cascade:
-    """universe: a column `key_` of distinct keys. wanted: the listed keys."""
-    spark = universe.sparkSession
-    names = sorted(set(wanted))
-    if len(names) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} listed keys; use semi_join")
-    listing = spark.createDataFrame([(x,) for x in names], "key_ string")
-    inside = _keys(universe.join(F.broadcast(listing), "key_", "left_semi").select(hashes(F.col("key_"))).collect())
-    if not len(inside):
+def _unsigned(pairs: pa.Array) -> np.ndarray:
+    return pairs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).view(np.uint64)
+
+
+def _level_of(keys: DataFrame, size: int, rate: float, n: int) -> Level:
+    """Level n from a table of keys' hashes (a column h): tasks emit the words that their keys touch,
+    which are joined by bitwise or; so the bits alone come to the driver."""
+    bits, count = max(64, math.ceil(-size * math.log(rate) / math.log(2) ** 2)), max(1, round(-math.log2(rate)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = salted(_unsigned(batch.column(0)), n)
+            at = np.unique(np.concatenate([(pairs[:, 0] + np.uint64(k) * pairs[:, 1]) % np.uint64(bits) for k in range(count)]))
+            if len(at):
+                word, begins = np.unique(at >> np.uint64(6), return_index=True)
+                ones = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), begins)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(ones.view(np.int64))], ["word", "ones"])
+
+    found = mapped(keys, run, "word bigint, ones bigint").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()
+    words = np.zeros((bits + 63) // 64, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("ones").to_numpy().view(np.uint64)
+    return Level(words, bits, count)
+
+
+def build(universe: DataFrame, listing: DataFrame, local_keys: int = LOCAL_KEYS) -> Cascade:
+    """universe: a column `key_` of distinct keys, all that will ever be asked for. listing: the listed
+    keys in its only column, of any number, repeated or null ones too. What the cascade takes on the
+    driver and in a task is its bits: about 1.5 * (2 + log2(keys / listed)) for each listed key of the universe."""
+    listing = listing.toDF("key_").filter("key_ is not null").distinct().withColumn("listed_", F.lit(True))
+    known = stored(universe.join(listing, "key_", "left").select(hashes(F.col("key_")).alias("h"), F.coalesce("listed_", F.lit(False)).alias("listed_")), "universe")
+    counts = {r[0]: r[1] for r in known.groupBy("listed_").count().collect()}
+    n_held = counts.get(True, 0)
+    if not n_held:
         return Cascade([])
-    n = universe.count()
-    first = level(salted(inside, 0), min(0.5, max(len(inside) / max(n, 1), 1e-6)))
-    probe = hit(Cascade([first]))
-    # unlisted keys that level one holds: about as many as are listed
-    wrong = _keys(universe.join(F.broadcast(listing), "key_", "left_anti").filter(probe(F.array(hashes(F.col("key_"))))[0]).select(hashes(F.col("key_"))).collect())
-    levels = [first]
-    held, other = wrong, inside  # what the next level must hold, and must not
-    while len(held):
-        n = len(levels)
-        one = level(salted(held, n), 0.5)
-        levels.append(one)
-        held, other = other[one.has(salted(other, n))], held
-        if n > 200:
+    held, other = known.filter("listed_").select("h"), known.filter("not listed_").select("h")
+    levels: list[Level] = []
+    rate = min(0.5, max(n_held / sum(counts.values()), 1e-6))
+    while n_held > local_keys or not levels:
+        levels.append(_level_of(held, n_held, rate, len(levels)))
+        rate, last = 0.5, Cascade([*[Level(np.full(1, ~np.uint64(0)), 64, 1)] * (len(levels) - 1), levels[-1]])
+        passed = hit(last, len(levels) % 2 == 1)
+        held, other = stored(other.filter(passed(F.array("h"))[0]), "held"), held  # keys on the wrong side
+        n_held = held.count()
+        if len(levels) > 200:
             raise ValueError("equal hashes of a listed and an unlisted key")
+    if n_held:
+        # the other side may be larger than what is held: of it too only what the level holds wrongly is gathered
+        levels.append(_level_of(held, n_held, 0.5, len(levels)))
+        last = Cascade([*[Level(np.full(1, ~np.uint64(0)), 64, 1)] * (len(levels) - 1), levels[-1]])
+        wrong = _keys(other.filter(hit(last, len(levels) % 2 == 1)(F.array("h"))[0]).collect())
+        now, before = wrong, _keys(held.collect())
+        while len(now):
+            n = len(levels)
+            levels.append(level(salted(now, n), 0.5))
+            now, before = before[levels[-1].has(salted(before, n))], now
+            if n > 200:
+                raise ValueError("equal hashes of a listed and an unlisted key")
     return Cascade(levels)
 
 
-def hit(cascade: Cascade):
-    """A function of an array of keys' hashes: for each, whether it is listed."""
+def hit(cascade: Cascade, wanted: bool = True):
+    """A function of an array of keys' hashes: for each, whether it is listed (or, with wanted=False, is not)."""
 
     @F.pandas_udf("array<boolean>")
     def run(rows):
         lengths = [len(x) for x in rows]
         flat = np.array([h for x in rows for h in x], np.int64).reshape(-1, 2).view(np.uint64)
-        found = cascade.has(flat) if len(flat) else np.zeros(0, bool)
+        found = cascade.has(flat) == wanted if len(flat) else np.zeros(0, bool)
         ends = np.cumsum(lengths)
         return pd.Series([found[e - n : e].tolist() for n, e in zip(lengths, ends, strict=True)])
 
@@ -140,14 +175,16 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED = tuple(f"{name}.example.{top}" for name in ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x") for top in ("com", "org", "net"))
 
 
-def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, wanted: Iterable[str] = LISTED) -> DataFrame:
+def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, wanted: Iterable[str] | DataFrame = LISTED) -> DataFrame:
     """Per row: id, host, path, rule (null: none fits), verdict, listed.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the
     longest that fits decides, of equally long ones the first by code point. Else the
     cascade does: block if the host or a domain above it is listed, else allow. Null or
     odd urls have an empty host, which no rule fits and no list holds: allow. Repeated
-    rows stay; an empty table gives an empty one. Other columns are not looked at.
+    rows stay; an empty table gives an empty one. Other columns are not looked at. Urls
+    of any length are read whole. wanted: listed hosts, or a table of them in its only
+    column for lists of any length.
     """
     rows = df.select(F.col(id_col), F.col(url_col).alias("url_"))
     host, path = host_and_path(F.col("url_"))
@@ -159,27 +196,15 @@ def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules
         fits = ((F.col("host") == top) | F.endswith(F.col("host"), F.lit("." + top))) & F.startswith(F.col("path"), F.lit(slash + rest))
         rule = F.when(fits, F.lit(text)).otherwise(rule)
         verdict = F.when(fits, F.lit(kind)).otherwise(verdict)
-    names = list(wanted)
-    hosts = rows.select("host").distinct()
-    if len(names) <= MAX_LISTED:
-        universe = hosts.select(F.explode(suffixes(F.col("host"))).alias("key_")).distinct()
-        cascade = build(universe, names)
-        is_listed = F.exists(hit(cascade)(F.transform(suffixes(F.col("host")), hashes)), lambda x: x)
-        rows = rows.withColumn("listed", is_listed)
-    else:
-        rows = semi_join(rows, names)
+    if not isinstance(wanted, DataFrame):
+        wanted = df.sparkSession.createDataFrame([(x,) for x in wanted], "key_ string")
+    universe = rows.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key_")).distinct()
+    cascade = build(universe, wanted)
+    is_listed = F.exists(hit(cascade)(F.transform(suffixes(F.col("host")), hashes)), lambda x: x)
+    rows = rows.withColumn("listed", is_listed)
     return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def semi_join(rows: DataFrame, names: Iterable[str]) -> DataFrame:
-    """`listed` by joins, for lists beyond MAX_LISTED."""
-    spark = rows.sparkSession
-    listing = spark.createDataFrame([(x,) for x in sorted(set(names))], "key_ string")
-    hosts = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key_"))
-    found = hosts.join(listing, "key_", "left_semi").select("host").distinct().withColumn("found_", F.lit(True))
-    return rows.join(found, "host", "left").withColumn("listed", F.coalesce("found_", F.lit(False))).drop("found_")
-
-
 ORACLE = """
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

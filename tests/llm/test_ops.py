@@ -230,17 +230,24 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in cascade.judge(df).collect()}
     assert got == {k: judged(u) for k, u in enumerate(urls)}
     assert cascade.judge(df.limit(0)).count() == 0
-    other = cascade.semi_join(df.select("page_id").withColumn("host", F.lit("m.ads-track.example.org")), cascade.LISTED)
-    assert all(r.listed for r in other.collect())
+    listing = df.sparkSession.createDataFrame([("x.com",), ("x.com",), (None,)], "any string")
+    assert {r.page_id for r in cascade.judge(df, wanted=listing).filter("listed").collect()} == {2, 4}
+    long = spark.createDataFrame([(1, "http://" + "a." * 3000 + "spam-farm.example.net/" + "p" * 100_000)], "page_id int, url string")
+    assert cascade.judge(long).first().listed
 
 
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("h"), "id").alias("key_"))
     wanted = [f"h{k}" for k in range(0, 20_000, 37)] + ["absent"]
-    made = cascade.build(universe, wanted)
-    rows = universe.select("key_", cascade.hit(made)(F.array(cascade.hashes(F.col("key_"))))[0].alias("x")).collect()
-    assert {r.key_ for r in rows if r.x} == set(wanted) - {"absent"} and len(made.levels) > 2
-    assert cascade.build(universe, ["absent"]).levels == []
+    listing = spark.createDataFrame([(x,) for x in wanted], "host string")
+    bits = []
+    for local_keys in (cascade.LOCAL_KEYS, 100, 0):  # levels made on the driver, by Spark, or both
+        made = cascade.build(universe, listing, local_keys)
+        rows = universe.select("key_", cascade.hit(made)(F.array(cascade.hashes(F.col("key_"))))[0].alias("x")).collect()
+        assert {r.key_ for r in rows if r.x} == set(wanted) - {"absent"} and len(made.levels) > 2
+        bits.append([x.words.tolist() for x in made.levels])
+    assert bits[0] == bits[1] == bits[2]
+    assert cascade.build(universe, spark.createDataFrame([("absent",)], "host string")).levels == []
 
 
 # -- 5 ----------------------------------------------------------------------------------
