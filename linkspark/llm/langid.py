@@ -17,14 +17,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm.cascade import host_and_path
 from linkspark.llm.common import mapped, share_below, stored
 
-#: Labelled documents that a fit reads at most, about, and trigrams it keeps for each language.
-MAX_FIT, MAX_GRAMS = 4000, 20_000
+#: Labelled documents that a fit reads at most, about; all their trigrams count, and come to the driver with their sums.
+MAX_FIT = 4000
 #: Trigrams that count in full; of the others, which depend on them, this share.
 FULL, REST = 60, 0.02
 #: Pages that a smoothing prior counts as.
@@ -73,8 +73,7 @@ def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     known = documents.filter(F.col(lang_col).isNotNull())
     sample = known.filter(share_below(known, id_col, max_fit)).select(F.col(text_col), F.col(lang_col))
     counts = mapped(sample, run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("rank_", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank_") <= MAX_GRAMS)
-    rows = top.select("lang", "gram", "n").collect()  # MAX_GRAMS for each language
+    rows = counts.collect()
     languages = tuple(sorted({r.lang for r in rows}))
     grams = {g: k for k, g in enumerate(sorted({r.gram for r in rows}))}
     weights = np.full((len(grams) + 1, len(languages)), 0.5)
@@ -119,7 +118,9 @@ def identify(pages: DataFrame, model: TextModel, *, id_col: str = "page_id", url
     Null or empty html has no text evidence; null or odd urls share the empty host.
     Without any evidence the corpus's most frequent language is given; equal posteriors
     go to the first code. Repeated rows stay. An empty table gives an empty one. With
-    no labelled document there is no language: lang is null. Other columns are not looked at.
+    no labelled document there is no language: lang is null. Other columns are not
+    looked at. Pages of any length are read whole; a page's words count tempered, so a
+    long text does not drown the other evidence.
     """
     count = len(model.languages)
     seen = evidence(pages, model, id_col=id_col, url_col=url_col, html_col=html_col)

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import stored, word_count
+from linkspark.llm.common import free, stored, word_count
 
 #: Hash buckets of a source; the width of a bucket's number in hex digits.
 BUCKETS, HEX = 4096, 3
@@ -125,15 +125,17 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", whole: bool = True, **options)
     """The mixture: df's columns, a row for each copy, range-sorted by training position.
 
     With whole=False the one document at the end of a source's target also stands
-    whole here; `plan` has the words to use of it. Rows that share an id get the plan
-    of one of them. Rows without an id take no part.
+    whole here; `plan` has the words to use of it. Ids name rows: rows that share an id
+    all get the plan of one of them, so that their source passes its target; rows
+    without an id take no part. Columns of df may have any names.
     """
     names = df.columns
+    ident, copies, copy, at = (free(df, x) for x in ("plan_id", "plan_copies", "plan_copy", "plan_at"))
     made = plan(df, id_col=id_col, whole=whole, **options).filter(F.size("copies") > 0)
-    made = made.groupBy(F.col(id_col).alias("plan_id_")).agg(F.min("copies").alias("plan_copies_"))
-    out = df.join(made, df[id_col] == made["plan_id_"]).select(*[df[f"`{c}`"] for c in names], F.explode("plan_copies_").alias("plan_copy_"))
-    out = out.withColumn("plan_at_", F.col("plan_copy_.position")).drop("plan_copy_")
-    return out.repartitionByRange("plan_at_", id_col).sortWithinPartitions("plan_at_", id_col).drop("plan_at_")
+    made = made.groupBy(F.col(id_col).alias(ident)).agg(F.min("copies").alias(copies))
+    out = df.join(made, df[id_col] == made[ident]).select(*[df[f"`{c}`"] for c in names], F.explode(copies).alias(copy))
+    out = out.withColumn(at, F.col(f"{copy}.position")).drop(copy)
+    return out.repartitionByRange(at, id_col).sortWithinPartitions(at, id_col).drop(at)
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ ordered by URL path, each is aligned with its nearest neighbour by the longest c
 subsequence of their lines, and lines that both share are deleted: what a site repeats
 from page to page. Lines inside an element that the page itself marks as its article
 are not deleted, as neighbours may carry the same article; nor are lines shared with a
-neighbour that is a copy of the page as a whole. Only the pages before and after are
-looked at: between two copies nothing is deleted.
+neighbour that is a copy of the page as a whole: behind a run of copies the page before
+the run is the neighbour, and of pages at the start of a host the first one that is no copy.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
+    opened: dict[str, int] = {}  # how often a tag is on the stack
     dropped = inside = at = 0
 
     def close() -> None:
@@ -103,13 +104,15 @@ def blocks(page: str) -> list[Block]:
             if out:
                 close()
             stack.append((tag, out, main))
+            opened[tag] = opened.get(tag, 0) + 1
             dropped += out
             inside += main
-        elif any(x[0] == tag for x in stack):
-            if any(x[1] for x in stack):
+        elif opened.get(tag):
+            if dropped:
                 close()
             while stack:
                 name, out, main = stack.pop()
+                opened[name] -= 1
                 dropped -= out
                 inside -= main
                 if name == tag:
@@ -147,16 +150,18 @@ def common(a: Sequence[str], b: Sequence[str]) -> list[int]:
     return [*range(head), *out[::-1], *range(len(a) - tail, len(a))]
 
 
+def shared_lines(page: list[Block], other: list[Block]) -> set[int] | None:
+    """The places of page's lines that an alignment with other shares; None if other is a copy of the page."""
+    found = common([b.text for b in page], [b.text for b in other])
+    size = max(sum(len(b.text) for b in x if b.content) for x in (page, other))
+    if sum(len(page[k].text) for k in found if page[k].content) > COPY * size:
+        return None
+    return set(found)
+
+
 def difference(page: list[Block], neighbours: list[list[Block]]) -> tuple[list[str], int]:
-    """(the lines that stay, the number of shared lines). neighbours: the nearest first."""
-    lines = [b.text for b in page]
-    shared: set[int] = set()
-    for other in neighbours:
-        found = common(lines, [b.text for b in other])
-        size = max(sum(len(b.text) for b in x if b.content) for x in (page, other))
-        if sum(len(lines[k]) for k in found if page[k].content) <= COPY * size:
-            shared = set(found)
-            break
+    """(the lines that stay, the number of shared lines). neighbours: the nearest first; the first that is no copy counts."""
+    shared = next((x for x in (shared_lines(page, other) for other in neighbours) if x is not None), set())
     return [b.text for k, b in enumerate(page) if b.content and (b.article or k not in shared)], len(shared)
 
 
@@ -169,49 +174,88 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+class _Page(NamedTuple):
+    place: int
+    extra: int
+    page: int | None
+    url: str | None
+    host: str
+    path: str
+    blocks: list[Block]
+
+
 def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows_per_range: int = 1000) -> DataFrame:
     """Per row: id, url, text (blocks joined by a newline), n_chars (code points), n_shared (lines it has in common with its neighbour).
 
     Null html gives an empty text; so does a page without content. Pages without a host
     have no neighbours. Of equal urls the smaller id comes first. Rows that repeat stay.
-    An empty table gives an empty one. Other columns are not looked at.
+    An empty table gives an empty one. Other columns are not looked at. Pages are read
+    whole, elements nested to any depth. A range's pages all copies of each other and of
+    those at its ends keep their shared lines outside articles, as no other page is in sight.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id_"), F.col(url_col).alias("url_"), F.coalesce(F.col(html_col), F.lit("")).alias("html_"))
     host, path = host_and_path(F.col("url_"))
     rows = rows.withColumns({"host_": host, "path_": path})
-    key = F.encode(F.concat("host_", F.lit("\0"), "path_", F.lit("\0"), F.coalesce("url_", F.lit(""))), "utf-8")
-    ordered = dealt(rows, key, rows_per_range, before=True).sortWithinPartitions("range_", "extra_", "key_", "id_")
+    # the id makes keys of equal urls differ, so that ranges may be cut among them
+    ident = F.lpad(F.hex(F.bitwise_not(F.coalesce("id_", F.lit((1 << 63) - 1))).bitwiseXOR(F.lit((1 << 63) - 1))), 16, "0")
+    key = F.encode(F.concat("host_", F.lit("\0"), "path_", F.lit("\0"), F.coalesce("url_", F.lit("")), F.lit("\0"), ident), "utf-8")
+    ordered = dealt(rows, key, rows_per_range, before=True).sortWithinPartitions("range_", "extra_", "key_", "html_")
     names = [id_col, "url", "text", "n_chars", "n_shared"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        row = tuple[int, int, int, str, str, str, list[Block]]
-        before: row | None = None
-        here: row | None = None
-
-        def finish(after: row | None) -> None:
-            if here is None or here[1]:
-                return
-            near = [x for x in (before, after) if x and x[0] == here[0] and x[4] == here[4] != ""]
-            near.sort(key=lambda x: -_prefix(x[5], here[5]))
-            lines, shared = difference(here[6], [x[6] for x in near])
-            text = "\n".join(lines)
-            out.append((here[2], here[3], text, len(text), shared))
+        earlier: _Page | None = None  # the nearest page before that is no copy of the one at hand
+        here: _Page | None = None
+        waiting: list[_Page] = []  # copies of each other at the start of a host: the first page that is no copy is their neighbour
+
+        def told(page: _Page, near: list[_Page]) -> None:
+            if not page.extra:
+                near = sorted(near, key=lambda x: -_prefix(x.path, page.path))
+                lines, shared = difference(page.blocks, [x.blocks for x in near])
+                text = "\n".join(lines)
+                out.append((page.page, page.url, text, len(text), shared))
+
+        def seen(now: _Page | None) -> None:
+            nonlocal earlier, here
+            if now and (not here or now.place != here.place or now.host != here.host or not now.host):
+                seen(None)
+            elif now and here:
+                copy = shared_lines(here.blocks, now.blocks) is None
+                if copy and now.blocks == here.blocks:
+                    now = now._replace(blocks=here.blocks)  # one object for all equal ones
+                if not copy:
+                    for page in waiting:
+                        told(page, [now])
+                    waiting.clear()
+                    told(here, [x for x in (earlier, now) if x])
+                    earlier = here
+                elif earlier:
+                    told(here, [earlier])
+                else:
+                    waiting.append(here)
+            elif here:
+                for page in waiting:
+                    told(page, [])
+                waiting.clear()
+                told(here, [earlier] if earlier else [])
+                earlier = None
+            here = now
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+            return made
 
         for batch in batches:
-            columns = [batch.column(k) for k in range(7)]
             for k in range(batch.num_rows):
-                place, extra, page, url, host, path, source = (c[k].as_py() for c in columns)
-                now = (place, extra, page, url, host, path, blocks(source))
-                finish(now)
-                before, here = here, now
+                place, extra, page, url, host, path, source = (batch.column(c)[k].as_py() for c in range(7))
+                seen(_Page(place, extra, page, url, host, path, blocks(source)))
                 if len(out) >= 200:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out.clear()
-        finish(None)
+                    yield batch_of()
+        seen(None)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            yield batch_of()
 
     schema = f"`{id_col}` bigint, url string, text string, n_chars bigint, n_shared bigint"
     return mapped(ordered.select("range_", "extra_", "id_", "url_", "host_", "path_", "html_"), run, schema)

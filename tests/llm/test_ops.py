@@ -345,6 +345,39 @@ def test_languages(spark):
     assert (blind.sort_values("page_id").lang.values == got.sort_values("page_id").lang.values).mean() > 0.97
 
 
+def test_fusion_equals_a_plain_computation(spark):
+    docs = spark.createDataFrame([(1, "the house of the stone", "en"), (2, "das haus und der stein", "de"), (3, "la maison de la pierre", "fr")], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, max_fit=100)
+    texts = ["the stone", "das haus", "la pierre", "the house of stone", "", "zz"]
+    rows = [(k, f"http://{'abc'[k % 3]}.site{k % 2}.{('com', 'de')[k % 2]}/{k}", f"<html lang='{('en', 'de', 'fr', '')[k % 4]}'><p>{texts[k % 6]}</p>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in langid.identify(pages, model).collect()}
+    count, prior = len(model.languages), langid.PRIOR
+    ll, q, host, declared = {}, {}, {}, {}
+    for k, url, page in rows:
+        words = texts[k % 6].split()
+        grams = [w[i : i + 3] for w in (f" {x} " for x in words) for i in range(len(w) - 2)]
+        ll[k] = sum((model.weights[model.grams.get(g, len(model.grams))] for g in grams), np.zeros(count))
+        q[k] = np.exp(ll[k] - ll[k].max()) / np.exp(ll[k] - ll[k].max()).sum()
+        host[k], declared[k] = url.split("/")[2], page.split("'")[1]
+    total = sum(q.values())
+    corpus = (total + 1) / (total.sum() + count)
+
+    def by(value, k):
+        own = [j for j in q if value(j) == value(k)]
+        return np.log((sum(q[j] for j in own) + prior * len(own) / total.sum()) / (total + prior))
+
+    for k in q:
+        name = lambda j: ".".join(host[j].split(".")[-2:])
+        named = [j for j in q if name(j) == name(k)]
+        of_name = (sum(q[j] for j in named) + prior * corpus) / (len(named) + prior)
+        beside = [j for j in q if host[j] == host[k]]
+        of_host = np.log((np.maximum(sum(q[j] for j in beside) - q[k], 0) + prior * of_name) / (len(beside) - 1 + prior))
+        fused = ll[k] + by(lambda j: declared[j], k) + by(lambda j: host[j].split(".")[-1], k) + of_host
+        p = np.exp(fused - fused.max()) / np.exp(fused - fused.max()).sum()
+        assert got[k].lang == model.languages[int(fused.argmax())] and got[k].p == pytest.approx(p.max(), abs=1e-9)
+
+
 def test_declared_language_anywhere_in_the_page(spark):
     model = langid.fit(spark.read.parquet(f"{TINY}/documents.parquet"))
     heads = [(1, "<!-- " + "licence " * 2000 + "-->"), (2, " " * 9000), (3, "<!-- <html lang='fr'> -->"), (4, "")]
@@ -404,6 +437,28 @@ def test_text_outside_the_article_stays_unless_shared(spark):
     assert got == {k: f"Teaser {k}\nBody number {k} goes on after {'many ' * k}things" for k in range(1, 6)}
 
 
+def test_names_that_no_list_knows(spark):
+    """Differencing decides where the markup says nothing: whole pages of blocks with made-up names, expected texts by row."""
+    page = lambda k, text: f'<body><div class="zorp">Zorp of the house</div><div class="qux1"><p>Home</p><p>Contact</p></div><section class="blarg"><h1>{text}</h1><p>Body {k} of {text}</p></section><div class="fnord">Kept by Zorp</div></body>'
+    rows = [(k, f"http://zorp.example/{k:02}", page(k, f"tale {k * k}")) for k in range(10, 30)]
+    got = {r.page_id: (r.text, r.n_shared) for r in pagediff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rows_per_range=6).collect()}
+    assert got == {k: (f"tale {k * k}\nBody {k} of tale {k * k}", 4) for k in range(10, 30)}
+
+
+def test_runs_of_copies_are_compared_with_the_page_beside_them(spark):
+    page = lambda k: f"<body><div>Welcome to the site</div><div>Story {k} tells of {'many ' * k}things that happened a very long time ago, and of all that came of them in the end, as far as is known</div></body>"
+    rows = [(k, "http://site.example/a", page(5)) for k in range(5)] + [(k, "http://site.example/b", page(9)) for k in range(10, 14)]
+    df = spark.createDataFrame(rows + [(20, None, page(5)), (21, None, page(5)), (22, "http://alone.example/", page(5))], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pagediff.extract(df).collect()}
+    assert all(got[k].startswith("Story") for k, *_ in rows) and all(got[k].startswith("Welcome") for k in (20, 21, 22))
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 50_000 + "core" + "</p></div>" * 50_000
+    assert [b.text for b in pagediff.blocks(deep)] == ["core"]
+    assert len(pagediff.blocks("<p>x</p>" * 100_000)) == 100_000
+
+
 def test_common_lines_are_a_longest_subsequence():
     rng = random.Random(2)
     for _ in range(200):
