@@ -4,12 +4,17 @@ ratio is the normalised Indel similarity, 2 * (longest common subsequence) / (bo
 lengths); the token scorers compare sorted or shared words; partial is the best ratio of
 the shorter string with a window of the longer. Subsequences are counted with bit
 vectors, one machine-word operation a character.
+
+The scalar functions define the scores. Columns are scored by their batch forms, which
+work on the code points of all pairs of a batch at once; pairs too long for a machine
+word go through the scalar ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,28 +111,204 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return 100.0 * (jaro + same * weight * (1 - jaro) if jaro > 0.7 else jaro)
 
 
-def scored(a: Column, b: Column, scorers: dict[str, Callable[[str, str], float]]) -> Column:
-    """A struct with a double for each scorer; -1 where either side is null or empty."""
-    schema = ", ".join(f"`{n}` double" for n in scorers)
+# -- batches ----------------------------------------------------------------------------
 
-    @F.pandas_udf(schema)
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({n: [f(p, q) if p and q else -1.0 for p, q in zip(x, y, strict=True)] for n, f in scorers.items()}, dtype="float64")
+#: Characters of the shorter string of a pair that fit a machine word, with a bit to spare.
+WORD = 62
+#: Cells (pairs times characters of both) of the tables that are made at once.
+CELLS = 1 << 21
+
+
+def _codes(strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, a row for each string, filled up with zeros; lengths)."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    table = np.array(strings, dtype=f"<U{max(1, int(lengths.max(initial=1)))}")
+    return table.view(np.uint32).reshape(len(strings), -1), lengths
+
+
+def _parts(x: Sequence[str], y: Sequence[str]) -> Iterator[np.ndarray]:
+    """Places of pairs of like length, as many as CELLS allows."""
+    size = np.maximum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y))) + 1
+    order = np.argsort(size, kind="stable")
+    start = 0
+    while start < len(order):
+        end = start + 1
+        step = max(1, CELLS // int(size[order[start]]))
+        end = min(len(order), start + step)
+        while end > start + 1 and (end - start) * int(size[order[end - 1]]) > CELLS:
+            end = start + max(1, (end - start) // 2)
+        yield order[start:end]
+        start = end
+
+
+def _bits(a: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each character of b, the bits of its places in a."""
+    held = np.arange(a.shape[1]) < n[:, None]
+    out = np.zeros(b.shape, np.uint64)
+    word = np.zeros((len(a), 8), np.uint8)
+    for j in range(b.shape[1]):
+        packed = np.packbits((a == b[:, j : j + 1]) & held, axis=1, bitorder="little")
+        word[:, : packed.shape[1]] = packed
+        out[:, j] = word.view(np.uint64)[:, 0]
+    return out
+
+
+def _shorter_first(x: Sequence[str], y: Sequence[str]) -> tuple[list[str], list[str]]:
+    both = [(p, q) if len(p) <= len(q) else (q, p) for p, q in zip(x, y, strict=True)]
+    return [p for p, _ in both], [q for _, q in both]
+
+
+def _by_batch(kernel: Callable[[list[str], list[str]], np.ndarray], scalar: Callable[[str, str], float], fits: Callable[[str, str], bool]) -> Callable[[Sequence[str], Sequence[str]], np.ndarray]:
+    """A batch form: the kernel for pairs that fit it, the scalar function for others."""
+
+    def run(x: Sequence[str], y: Sequence[str]) -> np.ndarray:
+        out = np.zeros(len(x))
+        for places in _parts(x, y):
+            inside = [k for k in places.tolist() if fits(x[k], y[k])]
+            if inside:
+                out[inside] = kernel([x[k] for k in inside], [y[k] for k in inside])
+            for k in set(places.tolist()).difference(inside):
+                out[k] = scalar(x[k], y[k])
+        return out
+
+    return run
+
+
+def _ratios(x: list[str], y: list[str]) -> np.ndarray:
+    x, y = _shorter_first(x, y)
+    (a, n), (b, m) = _codes(x), _codes(y)
+    bits = _bits(a, n, b)
+    full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    for j in range(b.shape[1]):
+        hit = row & np.where(j < m, bits[:, j], np.uint64(0))
+        row = ((row + hit) | (row - hit)) & full
+    return 200.0 * (n - np.bitwise_count(row)) / (n + m)
+
+
+def _partials(x: list[str], y: list[str]) -> np.ndarray:
+    x, y = _shorter_first(x, y)
+    (a, n), (b, m) = _codes(x), _codes(y)
+    bits = _bits(a, n, b)
+    full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+    best = np.zeros(len(x))
+    widest = int(n.max())
+    for start in range(1 - widest, b.shape[1]):
+        row = full.copy()
+        for j in range(max(0, start), min(b.shape[1], start + widest)):
+            hit = row & np.where((j < start + n) & (j < m), bits[:, j], np.uint64(0))
+            row = ((row + hit) | (row - hit)) & full
+        size = np.minimum(start + n, m) - max(0, start)
+        some = (size > 0) & (start > -n)
+        best = np.where(some, np.maximum(best, 200.0 * (n - np.bitwise_count(row)) / (n + np.maximum(size, 1))), best)
+    return best
 
-    return run(a, b)
+
+def _jaro_winklers(x: list[str], y: list[str], weight: float = 0.1) -> np.ndarray:
+    (a, n), (b, m) = _codes(x), _codes(y)
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    places, rows = np.arange(b.shape[1]), np.arange(len(x))
+    free = places < m[:, None]
+    taken = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        may = free & (b == a[:, i : i + 1]) & (np.abs(places - i) <= reach[:, None]) & (i < n)[:, None]
+        first = may.argmax(1)
+        found = may[rows, first]
+        free[rows[found], first[found]] = False
+        taken[:, i] = found
+    t = taken.sum(1)
+    used = ~free & (places < m[:, None])
+    left = np.take_along_axis(a, np.argsort(~taken, axis=1, kind="stable"), 1)
+    right = np.take_along_axis(b, np.argsort(~used, axis=1, kind="stable"), 1)
+    both = min(a.shape[1], b.shape[1])
+    moved = ((left[:, :both] != right[:, :both]) & (np.arange(both) < t[:, None])).sum(1) // 2
+    jaro = np.where(t > 0, (t / n + t / m + (t - moved) / np.maximum(t, 1)) / 3, 0.0)
+    lead = min(4, both)
+    same = np.cumprod((a[:, :lead] == b[:, :lead]) & (np.arange(lead) < np.minimum(n, m)[:, None]), axis=1).sum(1)
+    return 100.0 * np.where(jaro > 0.7, jaro + same * weight * (1 - jaro), jaro)
+
+
+def _in_a_word(a: str, b: str) -> bool:
+    return 0 < min(len(a), len(b)) <= WORD
+
+
+ratios = _by_batch(_ratios, ratio, _in_a_word)
+
+
+def token_sorts(x: Sequence[str], y: Sequence[str]) -> np.ndarray:
+    known = {s: " ".join(sorted(s.split())) for s in {*x, *y}}
+    return ratios([known[s] for s in x], [known[s] for s in y])
+
+
+def token_sets(x: Sequence[str], y: Sequence[str]) -> np.ndarray:
+    known = {s: set(s.split()) for s in {*x, *y}}
+    out = np.zeros(len(x))
+    at: list[int] = []
+    first: list[str] = []
+    second: list[str] = []
+    for k, (a, b) in enumerate(zip(map(known.get, x), map(known.get, y), strict=True)):
+        if not a or not b:
+            continue
+        shared = a & b
+        if shared and (shared == a or shared == b):
+            out[k] = 100.0
+            continue
+        base = " ".join(sorted(shared))
+        one, two = (f"{base} {' '.join(sorted(z - shared))}".strip() for z in (a, b))
+        pairs = [(one, two), (base, one), (base, two)] if base else [(one, two)]
+        at += [k] * len(pairs)
+        first += [p for p, _ in pairs]
+        second += [q for _, q in pairs]
+    if at:
+        np.maximum.at(out, at, ratios(first, second))
+    return out
+
+
+BATCHED: dict[Callable[[str, str], float], Callable[[Sequence[str], Sequence[str]], np.ndarray]] = {
+    ratio: ratios,
+    token_sort: token_sorts,
+    token_set: token_sets,
+    partial: _by_batch(_partials, partial, _in_a_word),
+    jaro_winkler: _by_batch(_jaro_winklers, jaro_winkler, lambda a, b: bool(a and b)),
+}
+
+
+def batch_scores(x: pd.Series, y: pd.Series, scorer: Callable[[str, str], float]) -> np.ndarray:
+    """-1 where either side is null or empty. Equal pairs of a batch are scored once."""
+    out = np.full(len(x), -1.0)
+    places: dict[tuple[str, str], list[int]] = {}
+    for k, pair in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        if pair[0] and pair[1]:
+            places.setdefault(pair, []).append(k)
+    if places:
+        left, right = zip(*places, strict=True)
+        if scorer in BATCHED:
+            found = BATCHED[scorer](left, right)
+        else:
+            found = np.array([scorer(p, q) for p, q in places])
+        counts = [len(k) for k in places.values()]
+        out[[k for own in places.values() for k in own]] = np.repeat(found, counts)
+    return out
+
+
+def scored(a: Column, b: Column, scorers: dict[str, Callable[[str, str], float]]) -> Column:
+    """A struct with a double for each scorer; -1 where either side is null or empty."""
+    return all_scored([(n, a, b, f) for n, f in scorers.items()])
 
 
 def all_scored(pairs: list[tuple[str, Column, Column, Callable[[str, str], float]]]) -> Column:
-    """One struct for many (name, left, right, scorer): a single pass through Python."""
+    """One struct for many (name, left, right, scorer): a single pass through Python. A column that several pairs have goes once."""
     schema = ", ".join(f"`{n}` double" for n, *_ in pairs)
-    scorers = [f for *_, f in pairs]
-    names = [n for n, *_ in pairs]
+    columns: dict[str, Column] = {}
+    for _, a, b, _ in pairs:
+        columns.setdefault(str(a), a)
+        columns.setdefault(str(b), b)
+    place = {k: n for n, k in enumerate(columns)}
+    plan = [(n, place[str(a)], place[str(b)], f) for n, a, b, f in pairs]
 
     @F.pandas_udf(schema)
     def run(*columns: pd.Series) -> pd.DataFrame:
-        out = {}
-        for k, (n, f) in enumerate(zip(names, scorers, strict=True)):
-            out[n] = [f(p, q) if p and q else -1.0 for p, q in zip(columns[2 * k], columns[2 * k + 1], strict=True)]
-        return pd.DataFrame(out, dtype="float64")
+        return pd.DataFrame({n: batch_scores(columns[i], columns[j], f) for n, i, j, f in plan}, dtype="float64")
+
+    return run(*columns.values())
 
-    return run(*[c for _, a, b, _ in pairs for c in (a, b)])

@@ -90,6 +90,9 @@ def candidates(records: DataFrame, rule: Depth = Depth()) -> DataFrame:
 
 
 def blocking_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Share of true pairs (s1, eid) among the candidates (a, b)."""
-    hit = truth.join(found.select(F.col("a").alias("s1"), F.col("b").alias("eid")).distinct().withColumn("hit", F.lit(1)), ["s1", "eid"], "left")
-    return hit.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), F.try_divide(F.count("hit").cast("double"), F.count(F.lit(1))).alias("recall"))
+    """Of true pairs (s1, eid) and of entities with one: how many, how many have their pairs (all of them) among the candidates (a, b), and the shares."""
+    hit = truth.select("s1", "eid").distinct().join(found.select(F.col("a").alias("s1"), F.col("b").alias("eid")).distinct().withColumn("hit", F.lit(1)), ["s1", "eid"], "left")
+    by = hit.groupBy("s1").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("h"))
+    share = lambda x, y: F.try_divide(x.cast("double"), y)
+    pairs, kept, entities, whole = F.sum("n"), F.sum("h"), F.count(F.lit(1)), F.count_if(F.col("h") == F.col("n"))
+    return by.agg(F.coalesce(pairs, F.lit(0)).alias("n_true"), F.coalesce(kept, F.lit(0)).alias("n_found"), share(kept, pairs).alias("recall"), entities.alias("n_entities"), whole.alias("n_whole"), share(whole, entities).alias("entity_recall"))

@@ -52,3 +52,25 @@ def party_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         words.alias("n_core"), F.regexp_replace("raw", "[^a-z0-9]", "").alias("n_cmp"), F.trim(F.regexp_replace("raw", "[^a-z0-9]+", " ")).alias("n_full"),
         F.col("nation").alias("a_street"), F.lit("").alias("a_loc"), F.coalesce(F.get(digits, F.lit(0)), F.lit("")).alias("a_house"), F.array_join(digits, " ").alias("a_nums"), F.lit("").alias("a_ids"),
     )
+
+
+def trader_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (side 1) and suppliers (side 2) by nation, each with the name of a part, and an address made of its brand,
+    size and key: records with all the fields that keys and pair features read, and with names that are met again."""
+    customer = table(spark, sf_dir, "customer").select(F.lit(1).alias("side"), F.lit("S1").alias("src"), F.col("c_nationkey").alias("part"), F.col("c_custkey").alias("k"))
+    supplier = table(spark, sf_dir, "supplier").select(F.lit(2).alias("side"), F.when(F.col("s_suppkey") % 2 == 0, "S2").otherwise("S3").alias("src"), F.col("s_nationkey").alias("part"), F.col("s_suppkey").alias("k"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), "p_name", "p_brand", "p_type", "p_size")
+    df = customer.unionByName(supplier).withColumn("pk", F.col("k") * 7 % 150).join(part, "pk")
+    k, size, number = F.col("k"), F.col("p_size").cast("string"), (F.col("pk") % 40).cast("string")
+    glued = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    df = df.select(
+        "side", "src", "part", F.concat(F.lit("T"), F.col("side").cast("string"), F.lit("-"), k.cast("string")).alias("rid"),
+        F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("n_core"),
+        F.concat("p_name", F.lit(" "), F.lower("p_type"), F.when(k % 2 == 0, " ltd").otherwise("")).alias("n_full"),
+        F.when(k % 2 == 0, "ltd").otherwise("").alias("n_legal"), F.lit("").alias("n_alias"),
+        F.concat(F.split("p_name", " ")[1], F.lit(" rd")).alias("a_street"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a_loc"),
+        F.when(k % 5 == 0, "").otherwise(size).alias("a_house"), F.concat(size, F.lit(" "), number).alias("a_nums"), F.concat(F.lit("d"), (F.col("pk") % 30).cast("string")).alias("a_ids"),
+        F.when(F.col("pk") % 3 == 0, "").when(F.col("pk") % 3 == 1, "kerala").otherwise("goa").alias("a_state"),
+        (k % 17 == 0).cast("int").alias("a_empty"), (k % 11 == 0).cast("int").alias("is_domain"), F.lit(0).alias("is_native"), (k % 13 == 0).cast("int").alias("has_alias"),
+    )
+    return df.withColumns({"n_cmp": glued("n_core"), "n_fc": glued("n_full"), "name_lc": F.col("n_full"), "a_norm": F.concat_ws(" ", "a_street", "a_loc", "a_nums")})
