@@ -39,7 +39,7 @@ def apply_thresholds(best: DataFrame, thresholds: Mapping[str, float], default:
     return best.filter(F.col(prob) >= by_source(thresholds, source, default))
 
 
-def expected_f(best: DataFrame, *, floor: float = 0.05, missed: float = 0.0, gamma: float = 1.0, prob: str = "p", keys: Sequence[str] = ("s1",)) -> DataFrame:
+def expected_f(best: DataFrame, *, floor: float | Column = 0.05, missed: float | Column = 0.0, gamma: float | Column = 1.0, prob: str = "p", keys: Sequence[str] = ("s1",)) -> DataFrame:
     """The k most probable pairs of each entity with the greatest expected F0.5 in its ratio form, if that beats the chance of no match."""
     at = Window.partitionBy(*keys)
     order = at.orderBy(F.desc("q_"), "eid")
@@ -64,9 +64,33 @@ def best_of_grid(best: DataFrame, entities: DataFrame, truth: DataFrame, grid: S
     return setting, f
 
 
-def tune_expected_f(best: DataFrame, entities: DataFrame, truth: DataFrame, *, gammas=(0.8, 1.0, 1.25, 1.5, 2.0), misses=(0.0, 0.1, 0.25), floors=(0.05, 0.2, 0.35)) -> tuple[dict[str, float], float]:
-    (gamma, missed, floor), f = best_of_grid(best, entities, truth, list(itertools.product(gammas, misses, floors)), lambda b, s: expected_f(b, gamma=s[0], missed=s[1], floor=s[2]))
-    return {"gamma": gamma, "missed": missed, "floor": floor}, f
+#: Parameters of the expected-F rule that are tried.
+GAMMAS, MISSES, FLOORS = (0.8, 1.0, 1.25, 1.5, 2.0), (0.0, 0.1, 0.25), (0.05, 0.2, 0.35)
+
+
+def expected_f_grid(best: DataFrame, entities: DataFrame, truth: DataFrame, *, gammas=GAMMAS, misses=MISSES, floors=FLOORS) -> DataFrame:
+    """(gamma, missed, floor, f05): the macro F0.5 of the expected-F rule under each setting. The settings are a column: pairs
+    are decided by (setting, entity) in one plan, and entities that predict nothing are counted, not multiplied."""
+    setting = F.array(*[F.struct(F.lit(float(g)).alias("gamma"), F.lit(float(m)).alias("missed"), F.lit(float(x)).alias("floor")) for g, m, x in itertools.product(gammas, misses, floors)])
+    names = ("gamma", "missed", "floor")
+    true = truth.select("s1", "eid").distinct().join(entities.select("s1").distinct(), "s1", "left_semi")
+    n_true = true.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+    rows = best.select("s1", "eid", "p").join(entities.select("s1").distinct(), "s1", "left_semi").join(true.withColumn("t", F.lit(1)), ["s1", "eid"], "left")
+    rows = rows.withColumn("g", F.explode(setting)).select("s1", "eid", "p", "t", "g.*")
+    kept = expected_f(rows, floor=F.col("floor"), missed=F.col("missed"), gamma=F.col("gamma"), keys=("s1", *names))
+    kept = kept.groupBy("s1", *names).agg(F.count(F.lit(1)).alias("n_pred"), F.count("t").alias("tp")).join(n_true, "s1", "left")
+    # an entity that predicts nothing has 1 if it has no match, else 0
+    gain = F.try_divide(1.25 * F.col("tp"), 0.25 * F.coalesce("n_true", F.lit(0)) + F.col("n_pred")) - F.when(F.col("n_true").isNull(), 1.0).otherwise(0.0)
+    n, alone = entities.select("s1").distinct().join(n_true, "s1", "left").agg(F.count(F.lit(1)), F.count_if(F.col("n_true").isNull())).first()
+    sums = kept.groupBy(*names).agg(F.sum(gain).alias("gain"))
+    every = best.sparkSession.range(1).select(F.explode(setting).alias("g")).select("g.*")
+    return every.join(F.broadcast(sums), list(names), "left").select(*names, ((F.lit(float(alone)) + F.coalesce("gain", F.lit(0.0))) / F.lit(float(max(n, 1)))).alias("f05"))
+
+
+def tune_expected_f(best: DataFrame, entities: DataFrame, truth: DataFrame, **grid) -> tuple[dict[str, float], float]:
+    """The setting with the greatest macro F0.5; of equal ones the greatest."""
+    f, *setting = max((round(r.f05, 12), r.gamma, r.missed, r.floor) for r in expected_f_grid(best, entities, truth, **grid).collect())
+    return dict(zip(("gamma", "missed", "floor"), setting, strict=True)), f
 
 
 def tune_thresholds(best: DataFrame, entities: DataFrame, truth: DataFrame, sources: Sequence[str], *, start: float = 0.5, rounds: int = 2, step: float = 0.02, gain: float = 1e-7) -> tuple[dict[str, float], float]:
@@ -120,20 +144,25 @@ def fit_isotonic(scored: DataFrame, *, prob: str = "p", label: str = "y", n_knot
     return {"x": [0.0, *x, 1.0], "y": [min(y[0], TINY), *y, max(y[-1], NEAR_ONE)]}
 
 
-def calibrated(p: Column, knots: Mapping[str, Sequence[float]] | None, temperature: float = 1.0) -> Column:
-    """The map's value, linear between knots, then its log odds over the temperature."""
+def points_of(knots: Mapping[str, Sequence[float]]) -> Column:
+    """Knots as an array of (x, y)."""
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zip(knots["x"], knots["y"], strict=True)])
+
+
+def calibrated(p: Column, knots: Mapping[str, Sequence[float]] | Column | None, temperature: float | Column = 1.0) -> Column:
+    """The map's value, linear between knots, then its log odds over the temperature. knots: also a column, an array of (x, y)."""
     q = p.cast("double")
-    if knots:
-        points = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zip(knots["x"], knots["y"], strict=True)])
-        low = F.element_at(F.filter(points, lambda k: k["x"] <= F.greatest(q, F.lit(float(knots["x"][0])))), F.lit(-1))
+    if knots is not None:
+        points = knots if isinstance(knots, Column) else points_of(knots)
+        low = F.element_at(F.filter(points, lambda k: k["x"] <= F.greatest(q, F.get(points, F.lit(0))["x"])), F.lit(-1))
         high = F.try_element_at(F.filter(points, lambda k: k["x"] > q), F.lit(1))
         q = F.coalesce(low["y"] + (F.greatest(q, low["x"]) - low["x"]) * F.try_divide(high["y"] - low["y"], high["x"] - low["x"]), low["y"])
-    if temperature != 1.0:
+    if isinstance(temperature, Column) or temperature != 1.0:
         q = shifted(q, F.lit(0.0), 1 / temperature)
     return q
 
 
-def shifted(q: Column, offset: Column, scale: float = 1.0) -> Column:
+def shifted(q: Column, offset: Column, scale: float | Column = 1.0) -> Column:
     """Log odds times scale plus offset, as a probability."""
     q = F.least(F.greatest(q, F.lit(TINY)), F.lit(NEAR_ONE))
     return 1 / (1 + F.exp(-(F.ln(q / (1 - q)) * scale + offset)))

@@ -18,8 +18,9 @@ def fold_of(number: Column, n_folds: int = 2, salt: int = 7) -> Column:
 
 
 def hash_share(key: Column, share: float, seed: int = 99) -> Column:
-    """A condition that the share of keys meets."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < F.lit(int(share * 10_000))
+    """A condition that the share of keys meets: by 32 bits of the digest of the seed and the key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000 < F.lit(round(share * 10_000))
 
 
 def entity_split(entities: DataFrame, records: DataFrame, truth: DataFrame, share: float = 0.1) -> dict[str, DataFrame]:

@@ -1,13 +1,13 @@
 """The linkage pipeline: prepare -> train -> predict, as one graph for all parts.
 
-Every join and window has the part (country) in its key; there is no loop over parts.
+Every join and window has the part (country) in its key; only the tuning of rules goes part by part.
 Stages are parquet tables under the work folder and are read again if they are there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linkspark.functions.address import with_addresses
 from linkspark.functions.text import has_non_latin, with_names
 from linkspark.operators import decide as D
+from linkspark.operators import rules as R
 from linkspark.operators.context import CONTEXT_FEATURES, context_features
 from linkspark.operators.group import GROUP_FEATURES, cluster_support, group_features
 from linkspark.operators.keys import ADDRESS_WEIGHTS, NAME_WEIGHTS, word_keys
@@ -22,7 +23,7 @@ from linkspark.operators.metrics import entity_scores, report
 from linkspark.operators.model import PARAMS, FoldEnsemble
 from linkspark.operators.pairs import FEATURES, featurised, prepared
 from linkspark.operators.retrieve import Depth, candidates
-from linkspark.operators.split import fold_of, learned_words
+from linkspark.operators.split import fold_of, hash_share, learned_words
 from linkspark.operators.tfidf import weighted
 from linkspark.sources import tables as T
 
@@ -34,6 +35,8 @@ STAGE_TWO = (*STAGE_ONE, *GROUP_FEATURES)
 class Config:
     depth: Depth = Depth()
     n_folds: int = 2
+    stage1_sample: float = 1.0  # of entities that each stage's models are fitted on
+    stage2_sample: float = 1.0
     unlabelled_temperature: float = 1.5
     unlabelled_lam: float = 0.0
     bucket_offsets: dict = field(default_factory=dict)
@@ -72,6 +75,15 @@ def grouped(scored: DataFrame, records: DataFrame) -> DataFrame:
     return group_features(pairs, cluster_support(pairs, vectors))
 
 
+def weighted_mean(folds: Iterable[tuple[int, int, float]]) -> float:
+    """Of (fold, entities, value): the mean over folds of the values weighted by entities."""
+    by: dict[int, list[tuple[int, float]]] = {}
+    for k, n, f in folds:
+        by.setdefault(k, []).append((n, f))
+    means = [sum(n * f for n, f in own) / max(sum(n for n, _ in own), 1) for own in by.values()]
+    return sum(means) / max(len(means), 1)
+
+
 @dataclass
 class Linkage:
     """spark, the folder of a run's stages, and settings."""
@@ -80,6 +92,7 @@ class Linkage:
     work: str
     config: Config = field(default_factory=Config)
     force: bool = False
+    model: str = ""  # the folder of models and rules; empty: below work
 
     def sources(self, folder: str, split: str) -> dict[str, DataFrame]:
         return {f"S{k}": T.read_tsv(self.spark, f"{folder}/{split}_source{k}.tsv") for k in (1, 2, 3)}
@@ -99,97 +112,109 @@ class Linkage:
     def features(self, split: str, records: DataFrame, found: DataFrame) -> DataFrame:
         return self._stage(f"features/{split}", lambda: context_features(featurised(found, records), records))
 
-    def train(self, records: DataFrame, found: DataFrame, truth: DataFrame) -> dict:
-        """Fits both stages and the decision; the artefacts come back and are saved under the work folder."""
+    @property
+    def model_dir(self) -> str:
+        return self.model or f"{self.work}/model"
+
+    def train(self, records: DataFrame, found: DataFrame, truth: DataFrame, *, reuse_stage1: bool = False) -> dict:
+        """Fits both stages and the decision; the artefacts come back and are saved in the model folder. With reuse_stage1
+        the saved models of stage one stay, and so do its scores if they are there."""
         n = self.config.n_folds
         fold = fold_of(F.xxhash64("a"), n)
         base = labelled(self.features("train", records, found), truth).withColumn("fold", fold)
-        one = FoldEnsemble(STAGE_ONE, self.config.trees).fit(base, n_folds=n)
+        sample = lambda rows, share, seed: rows if share >= 1 else rows.filter(hash_share(F.col("a"), share, seed))
+        if reuse_stage1:
+            one = FoldEnsemble.load(f"{self.model_dir}/stage1", STAGE_ONE)
+        else:
+            one = FoldEnsemble(STAGE_ONE, self.config.trees).fit(sample(base, self.config.stage1_sample, 1), n_folds=n)
         scored = self._stage("scores/train_p1", lambda: one.predict(base, "p1", fold="fold").withColumn("is_s2", F.col("is_s2").cast("int")))
         more = self._stage("features/train_group", lambda: grouped(scored, records).drop("p1"))
         second = scored.join(more, ["part", "a", "b"])
-        two = FoldEnsemble(STAGE_TWO, self.config.trees).fit(second, n_folds=n)
+        two = FoldEnsemble(STAGE_TWO, self.config.trees).fit(sample(second, self.config.stage2_sample, 2), n_folds=n)
         src = records.filter("side = 2").select("part", F.col("rid").alias("b"), "src")
         final = self._stage("scores/train_p", lambda: two.predict(second, "p", fold="fold").join(src, ["part", "b"]).select(F.col("part"), F.col("a").alias("s1"), F.col("b").alias("eid"), "src", "fold", "p1", "p", F.col("y")))
         rules = self.tuned(D.one_to_one(final), records, truth, final)
-        one.save(f"{self.work}/model/stage1")
-        two.save(f"{self.work}/model/stage2")
-        T.save_json(self.spark, rules, f"{self.work}/model/rules")
+        if not reuse_stage1:
+            one.save(f"{self.model_dir}/stage1")
+        two.save(f"{self.model_dir}/stage2")
+        T.save_json(self.spark, rules, f"{self.model_dir}/rules")
         return {"stage1": one, "stage2": two, "rules": rules}
 
     def tuned(self, best: DataFrame, records: DataFrame, truth: DataFrame, scored: DataFrame) -> dict:
-        """Each rule is tuned on one fold's entities and judged on the others'; the best on average is chosen and tuned on all."""
-        entities = records.filter("side = 1").select(F.col("rid").alias("s1"), F.col("part"), fold_of(F.xxhash64("rid"), self.config.n_folds).alias("fold"))
-        knots = D.fit_isotonic(scored)
-        best = best.withColumn("q", D.calibrated(F.col("p"), knots)).persist()
-        sources = sorted(r[0] for r in best.select("src").distinct().collect())
-        quick = {"gammas": (1.0, 1.5), "misses": (0.0, 0.1), "floors": (0.05, 0.2)}
-
-        def tune(method: str, rows, ents):
+        """By part, each rule is tuned on one fold's entities and judged on the others'; the method that is best over all parts,
+        weighted by their entities, is chosen, and tuned on all of a part. Unseen parts get a stricter default."""
+        entities = records.filter("side = 1").select(F.col("rid").alias("s1"), F.col("part"), fold_of(F.xxhash64("rid"), self.config.n_folds).alias("fold")).persist()
+        parts = sorted(r[0] for r in best.join(truth.select("s1").distinct(), "s1", "left_semi").select("part").distinct().collect())
+        pooled = D.fit_isotonic(scored)
+        methods, rules, held_out = self.config.methods, {}, {m: [] for m in self.config.methods}
+
+        def tune(method: str, rows, ents, knots):
             if method == "thr":
                 return D.tune_thresholds(rows, ents, truth, sources)[0]
             if method == "ef":
-                return D.tune_expected_f(rows, ents, truth, **quick)[0]
-            return {"lam": D.tune_lam(rows, ents, truth)[0]}
-
-        methods, value = self.config.methods, {}
-        for m in methods:
-            total = 0.0
+                return D.tune_expected_f(rows, ents, truth)[0]
+            return D.tune_lam(rows.withColumn("q", D.calibrated(F.col("p"), knots)), ents, truth)[0]
+
+        for part in parts:
+            rows = best.filter(F.col("part") == part).persist()
+            sources = sorted(r[0] for r in rows.select("src").distinct().collect())
+            own = entities.filter(F.col("part") == part)
+            knots = D.fit_isotonic(scored.filter(F.col("part") == part))
             for k in range(self.config.n_folds):
-                inside, outside = entities.filter(F.col("fold") == k), entities.filter(F.col("fold") != k)
-                rule = tune(m, best.join(inside.select("s1"), "s1", "left_semi"), inside)
-                picked = self.decide(best.join(outside.select("s1"), "s1", "left_semi"), {"method": m, m: rule})
-                total += entity_scores(outside.select("s1"), truth.join(outside.select("s1"), "s1", "left_semi"), picked).agg(F.avg("f05")).first()[0] or 0.0
-            value[m] = total / self.config.n_folds
-        method = max(methods, key=lambda m: value[m])
-        rules = {"method": method, "held_out": value, "calibration": knots, "unlabelled": {"temperature": self.config.unlabelled_temperature, "lam": self.config.unlabelled_lam, "bucket_offsets": self.config.bucket_offsets}}
-        rules |= {m: tune(m, best, entities) for m in methods}
-        best.unpersist()
-        return rules
+                inside, outside = own.filter(F.col("fold") == k), own.filter(F.col("fold") != k)
+                n = outside.count()
+                for m in methods:
+                    rule = {"thr": {s: 0.5 for s in sources}, "ef": {"gamma": 1.0, "missed": 0.0, "floor": 0.05}, "lam": 0.0, "knots": knots}
+                    rule["lam" if m == "exact" else m] = tune(m, rows.join(inside.select("s1"), "s1", "left_semi"), inside, knots)
+                    picked = self.decide(rows.join(outside.select("s1"), "s1", "left_semi"), {"method": m, "parts": {part: rule}, "unseen": R.unseen_rule({part: rule}), "pooled": pooled})
+                    f = entity_scores(outside.select("s1"), truth.join(outside.select("s1"), "s1", "left_semi"), picked).agg(F.avg("f05")).first()[0] or 0.0
+                    held_out[m].append((k, n, f))
+            rules[part] = {"thr": tune("thr", rows, own, knots), "ef": tune("ef", rows, own, knots), "lam": tune("exact", rows, own, knots), "knots": knots}
+            rows.unpersist()
+        value = {m: weighted_mean(held_out[m]) for m in methods}
+        entities.unpersist()
+        unlabelled = {"temperature": self.config.unlabelled_temperature, "lam": self.config.unlabelled_lam, "offsets": self.config.bucket_offsets}
+        return {"method": max(methods, key=lambda m: value[m]), "held_out": value, "parts": rules, "unseen": R.unseen_rule(rules), "pooled": pooled, "unlabelled": unlabelled}
 
     @staticmethod
     def decide(best: DataFrame, rules: dict) -> DataFrame:
-        """best: one-to-one pairs with p and calibrated q. Returns (s1, eid, p)."""
-        method = rules["method"]
-        if method == "thr":
-            out = D.apply_thresholds(best, rules["thr"])
-        elif method == "ef":
-            out = D.expected_f(best, **rules["ef"])
+        """best: one-to-one pairs (part, s1, eid, src, p, and the shape as bucket where offsets are set). Returns (s1, eid, p)."""
+        if rules["method"] == "thr":
+            out = R.by_thresholds(best, rules["parts"], rules["unseen"])
+        elif rules["method"] == "ef":
+            out = R.by_expected_f(best, rules["parts"], rules["unseen"])
         else:
-            out = D.exact_f(best, lam=rules["exact"]["lam"])
+            out = R.by_exact_f(best, rules["parts"], rules["pooled"], **rules.get("unlabelled", {}), bucket="bucket" if "bucket" in best.columns else None)
         return out.select("s1", "eid", "p")
 
-    def predict(self, split: str, records: DataFrame, found: DataFrame, models: dict, *, labelled_parts: list[str] | None = None) -> DataFrame:
-        """Matches (s1, eid, p). Parts without labels are decided by the exact rule at the unlabelled temperature."""
+    def predict(self, split: str, records: DataFrame, found: DataFrame, models: dict) -> DataFrame:
+        """Matches (s1, eid, p); parts without labels are decided by the rules' default."""
         base = self.features(split, records, found)
         scored = self._stage(f"scores/{split}_p1", lambda: models["stage1"].predict(base, "p1").withColumn("is_s2", F.col("is_s2").cast("int")))
         both = scored.join(grouped(scored, records).drop("p1"), ["part", "a", "b"])
         src = records.filter("side = 2").select("part", F.col("rid").alias("b"), "src")
         final = self._stage(f"scores/{split}_p", lambda: models["stage2"].predict(both, "p").join(src, ["part", "b"]).select("part", F.col("a").alias("s1"), F.col("b").alias("eid"), "src", "rank", "p1", "p"))
-        best = D.one_to_one(final)
-        rules = models["rules"]
-        known = F.lit(True) if labelled_parts is None else F.col("part").isin(labelled_parts)
-        usual = self.decide(best.filter(known).withColumn("q", D.calibrated(F.col("p"), rules["calibration"])), rules)
-        free = rules["unlabelled"]
-        q = D.calibrated(F.col("p"), rules["calibration"], free["temperature"])
-        rest = best.filter(~known).withColumn("q", q)
-        if free["bucket_offsets"]:
+        best, rules = D.one_to_one(final), models["rules"]
+        if rules["unlabelled"]["offsets"]:
             side = lambda n, k: records.filter(F.col("side") == n).select("part", F.col("rid").alias(k), F.col("a_house").alias(f"h_{k}"), F.col("n_core").alias(f"c_{k}"))
-            rest = rest.join(side(1, "s1"), ["part", "s1"]).join(side(2, "eid"), ["part", "eid"])
-            rest = rest.withColumn("q", D.with_offsets(F.col("q"), D.shape_bucket(F.col("h_s1"), F.col("h_eid"), F.col("c_s1"), F.col("c_eid")), free["bucket_offsets"]))
-        return usual.union(D.exact_f(rest, lam=free["lam"]).select("s1", "eid", "p"))
+            best = best.join(side(1, "s1"), ["part", "s1"]).join(side(2, "eid"), ["part", "eid"])
+            best = best.withColumn("bucket", D.shape_bucket(F.col("h_s1"), F.col("h_eid"), F.col("c_s1"), F.col("c_eid")))
+        return self.decide(best, rules)
 
     def write(self, entities: DataFrame, found: DataFrame, matches: DataFrame, out: str) -> None:
         T.write_tsv(T.id_lists(entities, found.select(F.col("a").alias("s1"), F.col("b").alias("eid"), "rank"), "rank", "candidate_entity_ids"), f"{out}/candidate_pairs.tsv")
         T.write_tsv(T.id_lists(entities, matches, "p", "matched_entity_ids", descending=True), f"{out}/matching_results.tsv")
 
     def load(self) -> dict:
-        m = f"{self.work}/model"
+        m = self.model_dir
         return {"stage1": FoldEnsemble.load(f"{m}/stage1", STAGE_ONE), "stage2": FoldEnsemble.load(f"{m}/stage2", STAGE_TWO), "rules": T.load_json(self.spark, f"{m}/rules")}
 
-    @cached_property
-    def dictionary_path(self) -> str:
-        return f"{self.work}/translit"
+    def words(self, train: dict[str, DataFrame] | None = None, truth: DataFrame | None = None) -> dict[str, str]:
+        """The dictionary of native words: learned from the training tables and saved, or as saved."""
+        path = f"{self.model_dir}/translit"
+        if train is not None:
+            T.save_json(self.spark, learn_dictionary(train, truth), path)
+        return T.load_json(self.spark, path)
 
 
 def validate(spark: SparkSession, entities: DataFrame, records: DataFrame, out: str) -> dict[str, int]:

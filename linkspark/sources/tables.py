@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,16 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = RECORD_C
     return spark.read.schema(schema).options(sep="\t", header=True, quote="", enforceSchema=False).csv(path).na.fill("")
 
 
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """All strings by name from the header, quoted by RFC 4180, line breaks inside quotes too; a missing value is the empty string."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=False).csv(path).na.fill("")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+
+
 def exploded_truth(df: DataFrame, left: str = "source1_entity_id", right: str = "matched_entity_ids") -> DataFrame:
     """(s1, eid) for each id in the comma list; empty lists give no row."""
     return df.select(F.col(left).alias("s1"), F.explode(F.split(right, ",")).alias("eid")).filter(F.col("eid") != "")
@@ -27,6 +40,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return exploded_truth(read_tsv(spark, path, ("source1_entity_id", "matched_entity_ids")))
 
 
+def wide_truth(df: DataFrame, left: str = "source1_entity_id", right: str = "matched_entity_ids") -> DataFrame:
+    """(s1, eids): the ids of each entity's comma list without empty ones; an empty list stays one."""
+    return df.select(F.col(left).alias("s1"), F.filter(F.split(F.coalesce(F.col(right), F.lit("")), ","), lambda x: x != "").alias("eids"))
+
+
 def id_lists(entities: DataFrame, pairs: DataFrame, order: str, name: str, *, descending: bool = False) -> DataFrame:
     """One row per entity (column s1) with its pairs' ids as an ordered comma list without repeats, '' if none."""
     key = -F.col(order) if descending else F.col(order)
@@ -39,8 +57,21 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", lineSep="\n").csv(path)
 
 
-def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], *, force: bool = False) -> DataFrame:
-    """The parquet table at path, made and written if it is not there yet."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir of the session)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="linkspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/linkspark-{uuid.uuid4().hex}/{name}"
+
+
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], *, force: bool = False, key: str = "") -> DataFrame:
+    """The parquet table at path, made and written if it is not there yet. key: what its making depends on; a stage
+    made with another key is another one, beside it."""
+    path = f"{path}-{key}" if key else path
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if force or not there:
