@@ -34,7 +34,7 @@ def compound_ids(part: Column) -> Column:
 def address_words(part: Column, streets: Column) -> Column:
     """Canonical words: street types and cities mapped, ordinals kept, other numbers and noise words dropped."""
     part = F.regexp_replace(part, "['’`]", "")
-    part = F.regexp_replace(part, r"(\d)(?!(?:st|nd|rd|th|er|eme|ere|e)(?![a-z]))([a-z])", "$1 $2")
+    part = F.regexp_replace(part, L.DIGIT_THEN_LETTER, "$1 $2")
     part = F.regexp_replace(part, r"([a-z])(\d)", "$1 $2")
     cities = literal_map(L.CITY_NAMES)
 
@@ -63,7 +63,7 @@ def with_addresses(df: DataFrame, column: str, country: str, table: Mapping[str,
     for native, name in L.NATIVE_STATES.items():
         text = F.replace(text, F.lit(native), F.lit(name))
     text = F.lower(strip_accents(transliterated(text, table)))
-    text = F.regexp_replace(text, r"\bp\.?\s?o\.?\s?box\s*\d+", " ")
+    text = F.regexp_replace(text, L.POST_BOX, " ")
     df = df.withColumns({"_ckey": key, "_fr": key == "france"})
     parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
     parts = F.filter(parts, lambda p: ~one_of(p, L.EMPTY_PARTS) & (F.regexp_replace(p, r"[ .\-<>]", "") != ""))
@@ -83,7 +83,7 @@ def with_addresses(df: DataFrame, column: str, country: str, table: Mapping[str,
     part = lambda p: F.replace(p, F.lit("-"), F.lit(" "))
     df = df.withColumn(
         "_found",
-        F.transform("_parts", lambda p: F.struct(address_words(part(p), F.col("_streets")).alias("words"), split_numbers(part(p)).alias("nums"), compound_ids(p).alias("ids"), (F.col("_fr") & part(p).rlike(r"^\s*\d{5}\s+[a-z][a-z .]+$")).alias("city"))),
+        F.transform("_parts", lambda p: F.struct(address_words(part(p), F.col("_streets")).alias("words"), split_numbers(part(p)).alias("nums"), compound_ids(p).alias("ids"), (F.col("_fr") & part(p).rlike(L.FRENCH_POSTCODE_CITY)).alias("city"))),
     )
     by_words = lambda x: F.when(F.col("_fr"), F.coalesce(one_of(F.get(x["words"], F.lit(0)), L.FRENCH_STREET_HEADS), F.lit(False))).otherwise(F.coalesce(one_of(F.try_element_at(x["words"], F.lit(-1)), L.STREET_TAILS), F.lit(False)))
     df = df.withColumn("_found", F.transform("_found", lambda x: x.withField("street", ~x["city"] & ((F.size(x["nums"]) > 0) | by_words(x)))))

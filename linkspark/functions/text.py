@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import lexicons as L
 
 NON_LATIN = "[^\\u0000-\\u024F\\u1E00-\\u1EFF \\u2000-\\u206F\\u20A0-\\u20CF°’‘“”«»]"
-ORDINAL = r"^\d+(st|nd|rd|th|er|e|eme|ere)$"
+ORDINAL = L.ORDINAL
 TOKEN_EDGE = ".,;:()[]{}\"'"
 
 
@@ -112,18 +112,16 @@ def without_repeats(words: Column) -> Column:
 
 
 def without_legal_suffix(stem: Column) -> Column:
-    """Listed suffixes go as long as three letters stay. Four rounds take off more than names have."""
+    """Listed suffixes go, the longest first, as long as three letters stay. A round takes off two letters at least, so half the length is rounds enough."""
     ends = "|".join(sorted(L.LEGAL_SUFFIXES, key=len, reverse=True))
-    for _ in range(4):
-        stem = F.regexp_replace(stem, f"^(.{{3,}}?)(?:{ends})$", "$1")
-    return stem
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(stem).cast("int") / 2, F.lit(1)).cast("int"))
+    return F.aggregate(rounds, stem, lambda s, _: F.regexp_replace(s, f"^(.{{3,}}?)(?:{ends})$", "$1"))
 
 
 def name_tokens(text: Column) -> Column:
     text = F.regexp_replace(text, "[&+]", " and ")
-    for form in L.DOTTED_FORMS:
-        tail = r"\.(?=\s|$)" if len(form) == 3 else r"\.?"
-        text = F.regexp_replace(text, r"\b" + form.replace(".", r"\.\s?") + tail, f" {form.replace('.', '')} ")
+    for form, word in L.DOTTED_FORMS:
+        text = F.regexp_replace(text, form, f" {word} ")
     text = F.regexp_replace(F.regexp_replace(text, r"\bm/s\b", " "), r"\bpvt\.\s?ltd\.?", " pvt ltd ")
     text = F.regexp_replace(F.regexp_replace(text, "['’`]", ""), "[^a-z0-9@$]+", " ")
     return F.filter(F.transform(words_of(text), without_ocr_swaps), lambda t: t != "")
@@ -136,17 +134,16 @@ def with_names(df: DataFrame, column: str, table: Mapping[str, str] | None = Non
     """df with the eight name fields; null and empty names have empty fields and zero flags."""
     keep = df.columns
     raw = F.coalesce(F.col(column), F.lit(""))
-    ends = L.DOMAIN_ENDS
     df = df.withColumn("_native", has_non_latin(raw))
     text = F.lower(F.trim(strip_accents(transliterated(raw, table))))
-    text = F.regexp_replace(text, r"\(\s*id\s*:?\s*\d+\s*\)|-?\s*\[\d{6,}\]|#\d{4,}", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "^[^a-z0-9]+", ""), r"^(?:mr|mrs|ms|dr|shri|sri|shree|smt|m/s)\.?\s+(?=\S+\.(?:com|c0m|in|net|org|co|fr)\b)", "")
+    text = F.regexp_replace(text, L.ID_TAGS, " ")
+    text = F.regexp_replace(F.regexp_replace(text, "^[^a-z0-9]+", ""), L.HONORIFIC_BEFORE_DOMAIN, "")
     df = df.withColumn("_text", text)
-    split = rf"(?s)^(.*?\S)\s+(?:{L.ALIAS_MARKS})\s+(.+)$"
+    split = L.ALIASED_NAME
     df = df.withColumn("_aliased", F.col("_text").rlike(split))
     df = df.withColumn("_alias", F.when(F.col("_aliased"), F.regexp_extract("_text", split, 1)).otherwise(F.lit("")))
     df = df.withColumn("_text", F.trim(F.when(F.col("_aliased"), F.regexp_extract("_text", split, 2)).otherwise(F.col("_text"))))
-    domain = rf"^(?:https?://)?(?:www\d?\.)?([a-z0-9][a-z0-9\-.]*?)\.({ends})$"
+    domain = L.DOMAIN_NAME
     df = df.withColumn("_domain", F.col("_text").rlike(domain))
     df = df.withColumn("_stem", F.when(F.col("_domain"), without_ocr_swaps(F.regexp_replace(F.regexp_extract("_text", domain, 1), "[^a-z0-9]", ""))))
     df = df.withColumn("_bare", without_legal_suffix(F.col("_stem")))
