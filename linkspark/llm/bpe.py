@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.common import mapped
 
-#: Bytes that the words of each table of a worker may take, with what Python adds to them.
-MAX_HELD = 64 << 20
+#: Bytes that a worker's table of pieces may take, with what Python adds to them; the other tables have parts of it.
+MAX_HELD = 48 << 20
 #: Bytes that an entry takes besides its letters.
 ENTRY = 200
 #: UTF-8 bytes of the texts that are encoded together.
@@ -134,10 +134,10 @@ class WordBpe:
 
     def clear(self) -> None:
         """Empties the tables."""
-        self._whole: Table = Table(self.max_held)
-        self._follows: Table = Table(self.max_held)
-        self._edges: tuple[Table, Table] = (Table(self.max_held), Table(self.max_held))
-        self._word, self._piece = Recent(self.max_held), Recent(self.max_held)
+        most = self.max_held
+        self._whole, self._edges = Table(most // 8), (Table(most // 8), Table(most // 8))
+        self._follows = Table(most // 2)
+        self._word, self._piece = Recent(most // 2), Recent(most)
 
     # -- merging of a few symbols, for the tests that the walk needs ------------------
 

@@ -25,7 +25,8 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per node of an edge: node, component (its least node). Edges stay distributed; each round is
-    written to the shared folder. Null ends and loops are left out."""
+    written to the shared folder. Null ends and loops are left out; repeated edges count once; no edges give no
+    rows. Nodes may be of any type that Spark orders. Other columns are not looked at."""
     edges = stored(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")), "edges")
     seen = None
     while True:

@@ -1,8 +1,9 @@
 """Exact dedup by progressive refinement: normalised length, then prefix hash, then full hash.
 
-Each step groups only what the step before left in groups of two or more, and only
-the last reads whole contents. Groups are pre-aggregated before any shuffle, so a
-group of copies of any size moves as one row per task.
+Each step groups only what the step before left in groups of two or more. `without_copies`
+hashes whole contents only of what the steps before left; `dedup`, whose output has the
+digest of every row, takes all of them in the first scan. Groups are pre-aggregated
+before any shuffle, so a group of copies of any size moves as one row per task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(text, f"[{SPACE}]+", "")
 
 
-#: Keys of surviving groups that are broadcast at most (16 bytes each); beyond it the full hash is taken of every row instead.
+#: Keys of surviving groups that are broadcast at most (16 bytes each); beyond it the full hash is taken of every row
+#: instead, where the texts lie: a join that let only the survivors through would move all texts.
 MAX_BROADCAST_KEYS = 1_000_000
 
 
@@ -40,6 +42,7 @@ def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dig
     empty, so null, empty and blank texts are one group. The row with the most code
     points in the original stays, then the one with the smallest id. Rows that repeat
     an id and its text count as copies of each other. Other columns are not looked at.
+    Texts of any length are hashed whole. An empty table gives empty ones.
     """
     scan = _keys(df, id_col, text_col)
     digest = F.sha2("normal_", 256).alias("digest_")
@@ -63,16 +66,17 @@ def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dig
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, keep_id, group_size long, kept boolean, text_sha256 (of the normalised text).
 
-    Defined as in `groups`. A repeated id with its text is kept in each of its rows.
+    Defined as in `groups`. A repeated id with its text is kept in each of its rows; so are rows without
+    an id where one of them is the row that stays (keep_id is null for its group).
     """
     rows, found = groups(df, id_col=id_col, text_col=text_col, digest_all=True)
     out = rows.join(found, "digest_", "left")
-    keep = F.coalesce("keep_id", F.col(id_col))
+    keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col(id_col))
     return out.select(id_col, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col(id_col).eqNullSafe(keep).alias("kept"), F.col("digest_").alias("text_sha256"))
 
 
 def without_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns. Only repeated contents are read in full."""
+    """The rows of df that stay, with all their columns. Only repeated contents are hashed in full. Rows without an id stay."""
     rows, found = groups(df, id_col=id_col, text_col=text_col)
     gone = rows.join(found, "digest_").filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone_id_"))
     return df.join(gone, df[id_col] == gone["gone_id_"], "left_anti")

@@ -288,8 +288,9 @@ def near_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     letters and digits), or an aligned similarity of `least` or more. Null text counts as
     empty. Texts without words are alike if equal; those with under five words if their
     words are. Rows that repeat an id are in the class of each of their texts' first id.
-    An empty table gives an empty one. Other columns are not looked at. Texts are
-    compared whole. Two texts at similarity 0.8 share a bucket with probability
+    An empty table gives an empty one. Other columns are not looked at. Texts of any
+    length are compared whole. Of shingles with equal least hashes those that come first
+    in numpy's partition are sampled, the same for equal texts. Two texts at similarity 0.8 share a bucket with probability
     1 - (1 - 0.8**3)**16, about 0.99999.
     """
     rows = stored(sketches(df, id_col=id_col, text_col=text_col), "sketches")

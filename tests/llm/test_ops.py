@@ -580,3 +580,5 @@ def test_exact_dedup(spark, odd, empty):
     kept = dedup.without_copies(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
     assert dedup.dedup(empty).count() == 0 and dedup.without_copies(empty).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c", "en", "s", 5), (1, "ab c", "en", "s", 4), (2, "abc", "en", "s", 3)], DOC_SCHEMA)
+    assert {(r.doc_id, r.keep_id, r.kept) for r in dedup.dedup(nameless).collect()} == {(None, None, True), (1, None, False), (2, None, False)}

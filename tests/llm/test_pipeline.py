@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from conftest import TINY
 
-from .fixtures import near_groups
+from .fixtures import near_groups, odd_documents
 
 
 def test_stages_against_brute_force(spark):
@@ -38,4 +38,19 @@ def test_stages_against_brute_force(spark):
 
 
 def test_run_equals_the_stages(spark):
-    assert corpus_pipeline.run(spark, TINY).count() > 0
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, TINY)
+    rows = lambda df: sorted((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in df.collect())
+    assert rows(corpus_pipeline.run(spark, TINY)) == rows(docs)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    odd = odd_documents(spark)
+    for docs in (odd, odd.limit(0)):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, TINY)
+            assert name == "bpe" or docs.columns == names
+        found = {r.doc_id for r in docs.collect()}
+        assert found <= {r.doc_id for r in odd.collect()} and (not found or {7, 11, 13} & found)
