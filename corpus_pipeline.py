@@ -1,7 +1,8 @@
 """A pipeline from documents to token ids: STAGES in order, each written and read again.
 
 toxicity -> exact dedup -> near dedup -> mixing -> BPE. Each stage works on all rows
-that the one before it kept.
+that the one before it kept. Null, empty and very long texts, ties, repeated rows, empty tables
+and columns with any names are treated as the operators state.
 """
 
 from __future__ import annotations
