@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -85,6 +86,12 @@ def boundaries(data: bytes, rule: Chunking = Chunking()) -> list[int]:
     return ends
 
 
+@lru_cache
+def _factors(n: int) -> np.ndarray:
+    """The factor of each place in a chunk."""
+    return np.array([pow(_ODD, k + 1, 1 << 64) for k in range(n)], np.uint64)
+
+
 def fingerprint(data: bytes, rule: Chunking = Chunking()) -> np.ndarray:
     """The sorted distinct entries digest << LENGTH_BITS | length of data's chunks.
 
@@ -95,7 +102,7 @@ def fingerprint(data: bytes, rule: Chunking = Chunking()) -> np.ndarray:
         return np.zeros(0, np.uint64)
     starts = np.concatenate([[0], ends[:-1]])
     sizes = ends - starts
-    factors = np.array([pow(_ODD, k + 1, 1 << 64) for k in range(rule.greatest)], np.uint64)
+    factors = _factors(rule.greatest)
     places = np.arange(len(data)) - np.repeat(starts, sizes)
     x = np.add.reduceat(_VALUES[np.frombuffer(data, np.uint8)] * factors[places], starts)
     x ^= x >> np.uint64(31)
