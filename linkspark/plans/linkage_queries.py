@@ -491,3 +491,65 @@ def scalar_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = r"^(?:https?://)?(?:www\d?\.)?([a-z0-9][a-z0-9\-.]*?)\.(com|org|net)"
     url = F.lower("url")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, pattern, 1).alias("stem"), F.regexp_extract(url, pattern, 2).alias("top"))
+
+
+# -- normalisers on fixed rows, with what they must give ----------------------------------
+
+NAMES = (
+    # raw, n_full, n_core, n_alias, n_legal, n_cmp, is_domain, is_native, has_alias
+    ("Blue Harbor Trading, L.L.C.", "blue harbor trading llc", "blue harbor trading", "", "llc", "blueharbortrading", 0, 0, 0),
+    ("Quill & Ink Private Limited", "quill and ink pvt ltd", "quill ink", "", "ltd pvt", "quillink", 0, 0, 0),
+    ("Sunrise Foods t/a Morning Table Inc.", "morning table inc", "morning table", "sunrise foods", "inc", "morningtable", 0, 0, 1),
+    ("www.GreenLeafCo.com", "greenleafco", "greenleaf", "", "", "greenleaf", 1, 0, 0),
+    ("Élan Vital S.A.R.L.", "elan vital sarl", "elan vital", "", "sarl", "elanvital", 0, 0, 0),
+    ("Best Best Motors (ID: 44321)", "best motors", "best motors", "", "", "bestmotors", 0, 0, 0),
+    ("G1obal Steel Corp", "global steel corp", "global steel", "", "corp", "globalsteel", 0, 0, 0),
+    ("The Center", "the center", "the center", "", "", "thecenter", 0, 0, 0),
+    ("Limited", "ltd", "ltd", "", "ltd", "ltd", 0, 0, 0),
+    ("", "", "", "", "", "", 0, 0, 0),
+    (None, "", "", "", "", "", 0, 0, 0),
+)
+ADDRESSES = (
+    # raw, country, a_norm, a_street, a_loc, a_state, a_nums, a_house, a_empty, a_ids
+    ("742 Evergreen Terrace, Springfield, Oregon", "US", "evergreen springfield 742", "evergreen", "springfield", "or", "742", "742", 0, ""),
+    ("Plot 12-B, MG Road, Bengaluru, Karnataka", "India", "marg rd bangalore 12", "marg rd", "bangalore", "karnataka", "12", "12", 0, "12b"),
+    ("14 bis Rue de la Paix, 75002 Paris, Île de France", "France", "rue paix paris 14 75002", "rue paix", "paris", "ile de france", "14 75002", "14", 0, ""),
+    ("0007 Main St, PO Box 99, null, Dallas, TX", "US", "main st dallas 7", "main st", "dallas", "tx", "7", "7", 0, ""),
+    ("", "US", "", "", "", "", "", "", 1, ""),
+    (None, None, "", "", "", "", "", "", 1, ""),
+)
+
+
+def _values(rows: tuple, names: str) -> str:
+    said = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, (k, *r))) + ')' for k, r in enumerate(rows))}) v({names})"
+
+
+@query(_values(NAMES, "k, raw, n_full, n_core, n_alias, n_legal, n_cmp, is_domain, is_native, has_alias"))
+def norm_names_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight name fields of fixed rows against what is stated for them."""
+    from linkspark.functions.text import with_names
+
+    out = with_names(spark.createDataFrame([(k, r[0]) for k, r in enumerate(NAMES)], "k int, raw string"), "raw")
+    return out.withColumns({c: F.col(c).cast("int") for c in ("is_domain", "is_native", "has_alias")})
+
+
+@query(_values(ADDRESSES, "k, raw, country, a_norm, a_street, a_loc, a_state, a_nums, a_house, a_empty, a_ids"))
+def norm_addresses_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight address fields of fixed rows against what is stated for them."""
+    from linkspark.functions.address import with_addresses
+
+    out = with_addresses(spark.createDataFrame([(k, *r[:2]) for k, r in enumerate(ADDRESSES)], "k int, raw string, country string"), "raw", "country")
+    return out.withColumn("a_empty", F.col("a_empty").cast("int"))
+
+
+DICTIONARY = "SELECT * FROM (VALUES ('лес', 'forest'), ('река', 'river'), ('гора', 'mount')) v(native_word, word)"
+
+
+@query(DICTIONARY)
+def dict_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words learned from names in two scripts: at equal places; a word seen once, or whose partner changes, is not learned."""
+    from linkspark.operators.split import learned_words
+
+    rows = [("Forest River", "лес река"), ("forest river", "Лес".lower() + " река"), ("Mount Forest", "гора лес"), ("Mount", "гора"), ("Sea", "море"), ("Hill", "холм"), ("Knoll", "холм"), ("Down", "холм")]
+    return learned_words(spark.createDataFrame(rows, "l string, n string"), "l", "n")
