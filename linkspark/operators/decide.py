@@ -171,46 +171,51 @@ def shifted(q: Column, offset: Column, scale: float | Column = 1.0) -> Column:
 # -- the exact expected F0.5 ------------------------------------------------------------
 
 
-def _with_trial(pmf: np.ndarray, q: float) -> np.ndarray:
-    """The distribution of a count after one more independent trial; the last cell holds all counts from there on."""
-    out = pmf * (1 - q)
-    out[1:] += pmf[:-1] * q
-    out[-1] += pmf[-1] * q
-    return out
+#: Greatest k that is tried; counts that are told apart, the last standing for all from there on.
+MOST_K, CELLS = 15, 31
 
 
-def _poisson(mean: float, cells: int) -> np.ndarray:
-    out = np.array([math.exp(-mean) * mean**k / math.factorial(k) for k in range(cells - 1)] + [0.0])
-    out[-1] = max(0.0, 1.0 - out.sum())
+def _with_trial(pmf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The distributions of counts (a row each) after one more independent trial; the last cell holds all counts from there on."""
+    out = pmf * (1 - q)[:, None]
+    out[:, 1:] += pmf[:, :-1] * q[:, None]
+    out[:, -1] += pmf[:, -1] * q
     return out
 
 
-def exact_k(q: Sequence[float], mean: float, k_max: int = 15, cells: int = 31) -> tuple[int, float]:
-    """q: probabilities, greatest first; mean: expected matches that are not among them. The k whose first k pairs have the
-    greatest expected F0.5, and that; 0 if no match at all is likelier."""
-    top = min(len(q), k_max)
-    rest = _poisson(mean, cells)
-    for x in q[top:]:
-        rest = _with_trial(rest, x)
-    missed = [rest]  # by k from top down: matches outside the first k
-    for x in reversed(q[:top]):
-        missed.append(_with_trial(missed[-1], x))
-    missed.reverse()
-    hits = np.zeros(cells)
-    hits[0] = 1.0
-    best, value = 0, float(missed[0][0])
+def exact_ks(q: np.ndarray, means: np.ndarray, k_max: int = MOST_K, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """q: a row of probabilities for each entity, greatest first, filled up with zeros (trials that never hit); means: expected
+    matches that are not among them. By entity, the k whose first k pairs have the greatest expected F0.5, and that; 0 if no
+    match at all is likelier."""
+    n, width = q.shape
+    top = min(width, k_max)
+    outside = np.exp(-means)[:, None] * means[:, None] ** np.arange(cells - 1) / np.array([math.factorial(k) for k in range(cells - 1)])
+    outside = np.column_stack([outside, np.maximum(0.0, 1.0 - outside.sum(1))])
+    for j in range(top, width):
+        outside = _with_trial(outside, q[:, j])
+    missed = [outside]  # by k, from the last: matches outside the first k
+    for j in range(top - 1, -1, -1):
+        missed.insert(0, _with_trial(missed[0], q[:, j]))
+    best, value = np.zeros(n, int), missed[0][:, 0].copy()
+    hits = np.zeros((n, cells))
+    hits[:, 0] = 1.0
     count = np.arange(cells)
     for k in range(1, top + 1):
-        hits = _with_trial(hits, q[k - 1])
-        a = count[: min(k, cells - 1) + 1, None]
-        f = 1.25 * a / (k + 0.25 * (a + count[None, :]))
-        here = float(hits[: len(a)] @ f @ missed[k])
-        if here > value + 1e-12:
-            best, value = k, here
+        hits = _with_trial(hits, q[:, k - 1])
+        f = 1.25 * count[:, None] / (k + 0.25 * (count[:, None] + count))
+        here = np.where(q[:, k - 1] > 0, ((hits @ f) * missed[k]).sum(1), -1.0)
+        better = here > value + 1e-12
+        best[better], value[better] = k, here[better]
     return best, value
 
 
-def exact_f(best: DataFrame, *, lam: float | DataFrame = 0.0, k_max: int = 15, min_p: float = 1e-3, prob: str = "q") -> DataFrame:
+def exact_k(q: Sequence[float], mean: float, k_max: int = MOST_K) -> tuple[int, float]:
+    """Of one entity."""
+    best, value = exact_ks(np.array([q], float), np.array([mean], float), k_max)
+    return int(best[0]), float(value[0])
+
+
+def exact_f(best: DataFrame, *, lam: float | DataFrame = 0.0, k_max: int = MOST_K, min_p: float = 1e-3, prob: str = "q") -> DataFrame:
     """The pairs of the exact decision, and k_ and ef_ of their entity. lam: expected matches outside the list, or (s1, lam).
     Pairs under min_p only add to it; entities without another predict nothing."""
     q = F.least(F.greatest(F.col(prob).cast("double"), F.lit(0.0)), F.lit(1 - 1e-9))
@@ -218,7 +223,11 @@ def exact_f(best: DataFrame, *, lam: float | DataFrame = 0.0, k_max: int = 15, m
 
     @F.pandas_udf("k int, ef double")
     def solve(lists: pd.Series, means: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([exact_k(sorted(x, reverse=True), m, k_max) for x, m in zip(lists, means, strict=True)], columns=["k", "ef"]).astype({"k": "int32"})
+        lengths = lists.map(len).to_numpy()
+        q = np.zeros((len(lists), int(lengths.max(initial=0))))
+        q[np.arange(q.shape[1]) < lengths[:, None]] = np.concatenate([*lists, np.zeros(0)])
+        best, value = exact_ks(-np.sort(-q, axis=1), means.to_numpy(), k_max)
+        return pd.DataFrame({"k": best.astype("int32"), "ef": value})
 
     # an entity's list is bounded by the rank cut of candidate search
     lists = df.groupBy("s1").agg(F.collect_list(F.when(F.col("q_") >= min_p, F.col("q_"))).alias("qs"), F.sum(F.when(F.col("q_") < min_p, F.col("q_")).otherwise(0.0)).alias("tail"))

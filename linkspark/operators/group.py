@@ -14,12 +14,16 @@ GROUP_FEATURES = (
 
 def by_record(pairs: DataFrame) -> DataFrame:
     """Per record (part, b): rivals, and the best and second best p1, cos_addr and cos_name among the entities that found it."""
+    # the row with the greatest value is marked by a window without an order, so one sort serves all three columns
     at = Window.partitionBy("part", "b")
-    two = {}
-    for name, column in (("p", "p1"), ("adr", "cos_addr"), ("nam", "cos_name")):
-        two[f"r_{name}"] = F.row_number().over(at.orderBy(F.desc(column), "a"))
-    ranked = pairs.withColumns(two)
-    nth = lambda name, column, n: F.coalesce(F.max(F.when(F.col(f"r_{name}") == n, F.col(column))), F.lit(0.0))
+    columns = {"p": "p1", "adr": "cos_addr", "nam": "cos_name"}
+    own = lambda name: F.struct(columns[name], "a")
+    ranked = pairs.withColumns({f"top_{name}": F.max(own(name)).over(at) for name in columns})
+
+    def nth(name: str, column: str, n: int):
+        found = F.max(column) if n == 1 else F.max(F.when(own(name) != F.col(f"top_{name}"), F.col(column)))
+        return F.coalesce(found, F.lit(0.0))
+
     return ranked.groupBy("part", "b").agg(
         F.count(F.lit(1)).alias("n_s1_j"),
         nth("p", "p1", 1).alias("first_j"),
