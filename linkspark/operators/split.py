@@ -14,7 +14,9 @@ FOLD_FACTOR, FOLD_MODULUS = 2654435761, 1000003
 
 
 def fold_of(number: Column, n_folds: int = 2, salt: int = 7) -> Column:
-    return F.pmod(F.pmod(number.cast("bigint") * F.lit(FOLD_FACTOR) + F.lit(salt), F.lit(FOLD_MODULUS)), F.lit(n_folds)).cast("int")
+    """The fold of a whole number, which is reduced first, so that no number overflows."""
+    rest = F.pmod(number.cast("bigint"), F.lit(FOLD_MODULUS))
+    return F.pmod(F.pmod(rest * F.lit(FOLD_FACTOR) + F.lit(salt), F.lit(FOLD_MODULUS)), F.lit(n_folds)).cast("int")
 
 
 def hash_share(key: Column, share: float, seed: int = 99) -> Column:

@@ -1,4 +1,3 @@
-import os
 
 import pytest
 from linkspark.operators.pairs import content_core, featurised, with_imputed_states
@@ -7,10 +6,9 @@ from linkspark.operators.split import learned_words, without_frequent_ids
 from linkspark.plans.linkage import Config, Linkage, normalised
 from linkspark.sources import tables as T
 
+# fixed inputs, whose results are known
 LEFT = [("S1-0", "Robbie Garza Laboratories", "61 Scarborough Village Drive, Dayton, OH"), ("S1-1", "Beam Boral Co", "111 Mansfield Avenue, Shelby, OH"), ("S1-2", "Primary Care Group", "49 Ridge Drive, Mountain Brook, AL")]
 RIGHT = [("S2-0", "Robbie Garza Laboratories Inc.", "61A SCARBOROUGH VILLAGE DR, DAYTON, OH"), ("S2-1", "Beam Boal Co", "#111 Mansfield Ave, Shelby, Ohio"), ("S2-2", "primarycaregroup.com", "49 RIDGE DR, MOUNTAIN BROOK, AL"), ("S2-3", "Primary Care Group", "12 Oak Street, Dallas, TX")]
-#: Whole plans of candidates and pair features take minutes on a few cores.
-slow = pytest.mark.skipif(not os.environ.get("LINKSPARK_SLOW"), reason="set LINKSPARK_SLOW to run")
 SMALL = Depth(k_comb=3, k_name=2, k_addr=2, max_df_word=100, max_df_char=100)
 
 
@@ -30,7 +28,6 @@ def test_first_candidates_are_the_matches(found):
     assert first == {("S1-0", "S2-0"), ("S1-1", "S2-1"), ("S1-2", "S2-2")}
 
 
-@slow
 def test_features_of_pairs(found):
     rows = {(x.a, x.b): x for x in featurised(found[1], found[0]).collect()}
     pair = rows["S1-1", "S2-1"]
@@ -39,7 +36,6 @@ def test_features_of_pairs(found):
     assert all(0 <= x.name_cos <= 1 + 1e-9 and 0 <= x.char_cos <= 1 + 1e-9 for x in rows.values())
 
 
-@slow
 def test_glued_initials(spark):
     left = [("S1-0", "Jai Infrastructure Private Limited", "67/11 Strand Road, Kolkata")]
     right = [("S2-0", "jiprivate.com", "67/11 Strand Road, Calcutta, WB"), ("S2-1", "Jai Infrastructure Pvt Ltd", "67/11 Strand Road, Kolkata")]
@@ -49,7 +45,6 @@ def test_glued_initials(spark):
     assert (rows["S2-1"].acr_prefix, rows["S2-1"].acr_rest) == (-1, -1)
 
 
-@slow
 def test_clipped_house_numbers_meet(spark):
     left = [("S1-0", "Glad Vasquez DDS", "2424 Peach Avenue, Marshfield, WI"), ("S1-1", "Other Co", "12 Elm Street, Austin, TX")]
     right = [("S2-0", "Calodelta", "424 PEACH AVENUE, MARSHIELD, WI"), ("S2-1", "Zeta", "9 Oak Rd, Boise, ID")]
@@ -97,7 +92,6 @@ def test_tsv_round_trip(spark, tmp_path):
     assert T.read_tsv(spark, f"{tmp_path}/t.tsv").collect() == df.collect()
 
 
-@slow
 def test_pipeline_end_to_end(spark, tmp_path):
     """Thirty businesses with noisy copies, trained on themselves; the matches come out."""
     left, right, truth = [], [], []
@@ -123,3 +117,45 @@ def test_pipeline_end_to_end(spark, tmp_path):
     eids = sources["S2"].unionByName(sources["S3"]).selectExpr("entity_id as eid")
     assert set(validate(spark, sources["S1"].selectExpr("entity_id as s1"), eids, f"file://{tmp_path}/out").values()) == {0}
     assert run.load()["rules"] == models["rules"]
+
+
+def test_cross_fitted_trees(spark, tmp_path):
+    """Model k is fitted without fold k and scores it; other rows get the mean; saved models score alike."""
+    from linkspark.operators.model import FoldEnsemble
+    from linkspark.operators.split import fold_of
+    from pyspark.sql import functions as F
+
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), F.when(F.col("id") % 7 == 0, None).otherwise(1.0).alias("z"), (F.col("id") % 20 >= 10).cast("int").alias("y"), fold_of(F.col("id")).alias("fold"))
+    few = {"maxIter": 2, "maxDepth": 2, "seed": 42}
+    made = FoldEnsemble(("x", "z"), few).fit(df)
+    got = made.predict(df, "p", fold="fold").toPandas()
+    assert ((got.p > 0.5) == (got.y == 1)).all() and got.columns.tolist() == [*df.columns, "p"]
+    wrong = df.withColumn("y", F.when(F.col("fold") == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    other = FoldEnsemble(("x", "z"), few).fit(wrong).predict(df, "p", fold="fold").toPandas()
+    assert ((other.p > 0.5) == (other.y == 1))[other.fold == 0].all()  # fold 0's model has not seen its wrong labels
+    assert not ((other.p > 0.5) == (other.y == 1))[other.fold == 1].any()
+    both = made.predict(df, "p").orderBy("id").toPandas().p
+    alone = [FoldEnsemble(("x", "z"), models=[m]).predict(df, "p").orderBy("id").toPandas().p for m in made.models]
+    assert both.to_numpy() == pytest.approx(((alone[0] + alone[1]) / 2).to_numpy())
+    assert made.importance(1)[0][0] == "x"
+    made.save(f"file://{tmp_path}/m")
+    again = FoldEnsemble.load(f"file://{tmp_path}/m", ("x", "z"))
+    assert again.predict(df, "p").orderBy("id").toPandas().p.to_numpy() == pytest.approx(both.to_numpy())
+    with pytest.raises(ValueError):
+        FoldEnsemble(("x", "none"), few).fit(df)
+
+
+def test_folds_of_any_number(spark):
+    from linkspark.operators.split import fold_of
+    from pyspark.sql import functions as F
+
+    numbers = [0, 5, -3, 1 << 62, -(1 << 63), (1 << 63) - 1]
+    got = [r.f for r in spark.createDataFrame([(n,) for n in numbers], "n bigint").select(fold_of(F.col("n"), 3).alias("f")).collect()]
+    assert got == [((n * 2654435761 + 7) % 1000003) % 3 for n in numbers]
+
+
+def test_the_command_line_has_its_options():
+    from linkspark.cli import parser
+
+    o = parser().parse_args("--mode predict --train-dir a --test-dir b --output-dir c --work-dir d --model-dir e --validator f --reuse-stage1 --block-countries X Y --stage1-sample 0.5 --stage2-sample 0.25".split())
+    assert (o.mode, o.model_dir, o.validator, o.reuse_stage1, o.block_countries, o.stage1_sample, o.stage2_sample) == ("predict", "e", "f", True, ["X", "Y"], 0.5, 0.25)

@@ -3,6 +3,7 @@ import pytest
 from linkspark.functions.address import with_addresses
 from linkspark.functions.text import romanise, with_names
 
+# fixed inputs, whose results are known
 WORDS = {"लक्ष्मी": "laxmi", "इन्वेस्टमेंट": "investment", "प्रा": "pvt", "लि": "ltd"}
 
 

@@ -1,5 +1,6 @@
 import __spark_entry__
 import pytest
+from linkspark.plans import linkage_queries  # noqa: F401  registers its queries
 from linkspark.plans import queries as core
 from oracle import connection, differences
 
@@ -16,9 +17,9 @@ def test_core_queries_match_their_sql(spark, name):
     assert differences(core.QUERIES[name](spark, TINY).toPandas(), connection(TINY).execute(core.SQL[name]).fetchdf()) == ""
 
 
-def test_rows_only_queries_run(spark):
-    for name in sorted(set(core.QUERIES) - set(core.SQL) - {"dec_tuned_thresholds", "dec_isotonic", "model_gbt", "block_candidates"}):
-        assert core.QUERIES[name](spark, TINY).count() >= 0, name
+@pytest.mark.parametrize("name", ["norm_names", "norm_addresses", "feat_strings"])
+def test_queries_without_sql_have_rows(spark, name):
+    assert core.QUERIES[name](spark, TINY).count() > 0
 
 
 def test_parquet_scans_are_pruned(spark):
@@ -28,8 +29,7 @@ def test_parquet_scans_are_pruned(spark):
 
 
 @pytest.mark.parametrize("name", ["er_tfidf_topk_f05", "block_tfidf", "block_cosine", "topk_per_entity", "dec_one_to_one", "block_recall", "group_by_record", "feat_idf"])
-def test_deep_queries_keep_frequent_keys(spark, name):
-    sql = core.SQL[name].replace(f"BETWEEN 2 AND {core.MAX_DF} AND", f"BETWEEN 2 AND {core.DEEP_MAX_DF} AND")
-    assert sql != core.SQL[name] and core.DEEP_MAX_DF == 5000
-    found = core.QUERIES[f"{name}_deep"](spark, TINY).toPandas()
-    assert differences(found, connection(TINY).execute(sql).fetchdf()) == ""
+def test_deep_queries_keep_frequent_keys(name):
+    """Their SQL, which they are held against above, is the query's own at the operator's depth."""
+    assert core.DEEP_MAX_DF == 5000 and f"BETWEEN 2 AND {core.MAX_DF} AND" in core.SQL[name]
+    assert core.SQL[f"{name}_deep"] == core.SQL[name].replace(f"BETWEEN 2 AND {core.MAX_DF} AND", f"BETWEEN 2 AND {core.DEEP_MAX_DF} AND")
