@@ -9,6 +9,7 @@ from linkspark.functions import similarity as S
 from linkspark.functions.lexicons import SIBLING_OFFSETS
 from linkspark.operators.keys import char_keys, word_keys
 from linkspark.operators.tfidf import pair_stats, weighted
+from linkspark.sources.tables import stored
 
 #: (feature, column of both sides or (of a, of b), scorer)
 STRING_FEATURES = (
@@ -140,10 +141,10 @@ def idf_features(found: DataFrame, records: DataFrame) -> DataFrame:
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
     ids = ["part", "a", "b"]
     out = found.select(*ids)
-    # several joins read keys and weights: they are kept, and graphs stay small
-    words, chars = word_keys(records, keep).persist(), char_keys(records, keep).persist()
+    # several joins read keys and weights: they are written, and graphs stay small
+    words, chars = stored(word_keys(records, keep), "words"), stored(char_keys(records, keep), "chars")
     for block, keys, scale in (("name", words, {"w": 1.0}), ("addr", words, {"s": 1.0, "l": 1.0, "n": 1.0, "x": 1.0}), ("char", chars, {"g": 1.0})):
-        stats = pair_stats(found, weighted(keys, sizes, scale, max_df=1e12, min_df=1, normalise=False).persist())
+        stats = pair_stats(found, stored(weighted(keys, sizes, scale, max_df=1e12, min_df=1, normalise=False), block))
         wanted = [f for f in IDF_FEATURES if f.startswith(f"{block}_")]
         out = out.join(stats.select(*ids, *[F.col(f.split("_", 1)[1]).alias(f) for f in wanted]), ids)
     return out
@@ -151,7 +152,7 @@ def idf_features(found: DataFrame, records: DataFrame) -> DataFrame:
 
 def featurised(found: DataFrame, records: DataFrame, source: str = "src") -> DataFrame:
     """found: candidates (part, a, b, BLOCK_FEATURES); records: (part, side, rid, src, fields). Returns part, a, b and FEATURES."""
-    records = with_imputed_states(records).persist()
+    records = stored(with_imputed_states(records), "records")
     side = lambda n, name: records.filter(F.col("side") == n).select("part", F.col("rid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in RECORD_COLUMNS], F.col(source).alias(f"src_{name}"))
     ids = ["part", "a", "b"]
     df = found.join(side(1, "a"), ["part", "a"]).join(side(2, "b"), ["part", "b"])

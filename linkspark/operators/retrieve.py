@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkspark.operators.keys import ADDRESS_WEIGHTS, CHAR_WEIGHTS, NAME_WEIGHTS, char_keys, word_keys
 from linkspark.operators.tfidf import weighted
+from linkspark.sources.tables import stored
 
 #: Shares of the blocks in the cheap score.
 BLOCKS = {"name": 0.40, "addr": 0.45, "char": 0.15}
@@ -35,6 +36,7 @@ def block_cosines(weights: dict[str, DataFrame]) -> DataFrame:
     for block, w in weights.items():
         w = w.withColumn("block", F.lit(block))
         all_blocks = w if all_blocks is None else all_blocks.unionByName(w)
+    all_blocks = stored(all_blocks, "weights")
     left = all_blocks.filter("side = 1").select("part", "block", "ns", "key", F.col("rid").alias("a"), F.col("w").alias("wa"))
     right = all_blocks.filter("side = 2").select("part", "block", "ns", "key", F.col("rid").alias("b"), F.col("w").alias("wb"))
     dot = lambda block: F.round(F.sum(F.when(F.col("block") == block, F.col("wa") * F.col("wb")).otherwise(0.0)), SCALE).alias(f"cos_{block}")
@@ -73,8 +75,8 @@ def candidates(records: DataFrame, rule: Depth = Depth()) -> DataFrame:
     cheap, rank, n_cands). Parts without a record of side 1 give nothing; records without a shared key have no pair."""
     keep = ["part", "side", "rid"]
     # keys, weights and cosines are each read several times
-    words = word_keys(records, keep, first_side=F.col("side") == 1).persist()
-    chars = char_keys(records, keep).persist()
+    words = stored(word_keys(records, keep, first_side=F.col("side") == 1), "words")
+    chars = stored(char_keys(records, keep), "chars")
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
     weights = {
         "name": weighted(words, sizes, NAME_WEIGHTS, max_df=rule.max_df_word),
@@ -82,7 +84,7 @@ def candidates(records: DataFrame, rule: Depth = Depth()) -> DataFrame:
         "char": weighted(chars, sizes, CHAR_WEIGHTS, max_df=rule.max_df_char),
     }
     depth = depths(records, rule)
-    found = three_lists(block_cosines({k: w.persist() for k, w in weights.items()}).persist(), depth)
+    found = three_lists(stored(block_cosines(weights), "cosines"), depth)
     cheap = F.round(BLOCKS["name"] * F.col("cos_name") + BLOCKS["addr"] * F.col("cos_addr") + BLOCKS["char"] * F.col("cos_char"), SCALE)
     found = found.withColumn("cheap", cheap).withColumn("rank", ranked(F.col("cheap")))
     found = found.join(F.broadcast(depth.select("part", "max_candidates")), "part").filter(F.col("rank") <= F.col("max_candidates")).drop("max_candidates")

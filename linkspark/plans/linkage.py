@@ -71,7 +71,7 @@ def grouped(scored: DataFrame, records: DataFrame) -> DataFrame:
     keys = word_keys(right, ["part", "side", "rid"])
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
     both = keys.unionByName(keys.withColumn("side", F.lit(1)))  # similarity among records of one side
-    vectors = {n: weighted(both, sizes, w, max_df=1e12).filter("side = 2").persist() for n, w in (("name", {"w": NAME_WEIGHTS["w"]}), ("addr", {k: ADDRESS_WEIGHTS[k] for k in ("s", "l", "n", "x")}))}
+    vectors = {n: T.stored(weighted(both, sizes, w, max_df=1e12).filter("side = 2"), n) for n, w in (("name", {"w": NAME_WEIGHTS["w"]}), ("addr", {k: ADDRESS_WEIGHTS[k] for k in ("s", "l", "n", "x")}))}
     return group_features(pairs, cluster_support(pairs, vectors))
 
 

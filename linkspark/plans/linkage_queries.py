@@ -243,7 +243,8 @@ def group_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = word_keys(right, ["part", "side", "rid"])
     both = keys.unionByName(keys.withColumn("side", F.lit(1)))
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
-    vectors = {n: weighted(both, sizes, w, max_df=1e12).filter("side = 2") for n, w in (("name", {"w": NAME_WEIGHTS["w"]}), ("addr", {k: ADDRESS_WEIGHTS[k] for k in ("s", "l", "n", "x")}))}
+    pairs = T.stored(pairs, "pairs")
+    vectors = {n: T.stored(weighted(both, sizes, w, max_df=1e12).filter("side = 2"), n) for n, w in (("name", {"w": NAME_WEIGHTS["w"]}), ("addr", {k: ADDRESS_WEIGHTS[k] for k in ("s", "l", "n", "x")}))}
     out = group_features(pairs, cluster_support(pairs, vectors))
     real = ("p1", "p1_max_s1", "p1_gap_s1", "p1_sum_s1", "p1_max_src_s1", "p1_max_other_j", "p1_margin_j", "addr_margin_j", "name_margin_j", "support_max", "support_mean")
     return out.select("part", "a", "b", *[F.round(c, 6).alias(c) if c in real else F.col(c) for c in GROUP_FEATURES])
@@ -256,7 +257,7 @@ BEST = f"""{CANDIDATES}, bs AS (SELECT part, a AS s1, b AS eid, src, p FROM (SEL
 
 def trader_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(part, s1, eid, src, p): each supplier's best customer, the cheap score as probability."""
-    return D.one_to_one(_scored(spark, sf_dir))
+    return T.stored(D.one_to_one(_scored(spark, sf_dir)), "best")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,8 +327,8 @@ SELECT s1, eid, round(p, 6) AS p FROM ch0 WHERE s1 NOT IN (SELECT s1 FROM tc) UN
 )
 def dec_reoffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that their best entity rejects (under 0.5) are offered to the second best, which takes what is at 0.3 or more."""
-    scored = _scored(spark, sf_dir)
-    best = D.one_to_one(scored)
+    scored = T.stored(_scored(spark, sf_dir), "scored")
+    best = T.stored(D.one_to_one(scored), "best")
     return D.reoffered(scored, best, best.filter("p >= 0.5"), lambda rows: rows.filter("p >= 0.3"), prob="p").withColumn("p", F.round("p", 6))
 
 

@@ -21,7 +21,7 @@ from linkspark.operators.retrieve import BLOCKS, SCALE, Depth, candidates, ranke
 from linkspark.operators.split import fold_of, without_frequent_ids
 from linkspark.operators.tfidf import pair_stats, weighted
 from linkspark.sources.adapters import document_records, document_truth, party_records, table
-from linkspark.sources.tables import id_lists, profile
+from linkspark.sources.tables import id_lists, profile, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,7 +172,7 @@ def dec_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dec_tuned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = document_records(spark, sf_dir)
-    best = document_best(spark, sf_dir).join(records.select(F.col("rid").alias("eid"), "src"), "eid").persist()
+    best = stored(document_best(spark, sf_dir).join(records.select(F.col("rid").alias("eid"), "src"), "eid"), "best")
     entities = records.filter("side = 1").select(F.col("rid").alias("s1"))
     rule, f = D.tune_thresholds(best, entities, document_truth(records), ["S2", "S3"])
     return D.apply_thresholds(best, rule).select("s1", "eid", "p", "src")

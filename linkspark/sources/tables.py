@@ -68,6 +68,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/linkspark-{uuid.uuid4().hex}/{name}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to and read from the shared folder: what several joins read is made once, and no executor's loss takes it away."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], *, force: bool = False, key: str = "") -> DataFrame:
     """The parquet table at path, made and written if it is not there yet. key: what its making depends on; a stage
     made with another key is another one, beside it."""
