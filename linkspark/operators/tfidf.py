@@ -12,14 +12,16 @@ from linkspark.functions.text import literal_map
 
 def weighted(keys: DataFrame, sizes: DataFrame, weights: Mapping[str, float], *, max_df: float, min_df: int = 2, normalise: bool = True) -> DataFrame:
     """keys: (part, side, rid, ns, key), a row per emission; sizes: (part, n_records). Returns (part, side, rid, ns, key, w).
+    With a column copies, a record stands for so many equal ones.
 
     A key's document frequency counts emissions on both sides; keys of one side alone, or outside min_df..max_df, go. Weight
     is ln(records / frequency), times the namespace's weight and the record's emissions; rows then have length 1. Frequent keys
     go before any join of the sides: what a key can fan out to is bounded by max_df squared.
     """
     keys = keys.filter(F.col("ns").isin(list(weights)))
-    counts = keys.groupBy("part", "side", "rid", "ns", "key").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = counts.groupBy("part", "ns", "key").agg(F.sum("tf").alias("df"), F.max("side").alias("hi"), F.min("side").alias("lo"))
+    copies = F.max("copies") if "copies" in keys.columns else F.lit(1)
+    counts = keys.groupBy("part", "side", "rid", "ns", "key").agg(F.count(F.lit(1)).alias("tf"), copies.alias("copies"))
+    frequency = counts.groupBy("part", "ns", "key").agg(F.sum(F.col("tf") * F.col("copies")).alias("df"), F.max("side").alias("hi"), F.min("side").alias("lo"))
     frequency = frequency.filter((F.col("hi") != F.col("lo")) & F.col("df").between(min_df, max_df))
     idf = frequency.join(F.broadcast(sizes), "part").select("part", "ns", "key", F.ln(F.col("n_records") / F.col("df")).alias("idf"))
     scale = F.try_element_at(literal_map({k: str(v) for k, v in weights.items()}), F.col("ns")).cast("double")
