@@ -13,32 +13,35 @@ GROUP_FEATURES = (
 
 
 def by_record(pairs: DataFrame) -> DataFrame:
-    """Per record (part, b): rivals, and the best and second best p1, cos_addr and cos_name among the entities that found it."""
+    """Per record (part, b): rivals, and the best and second best p1, cos_addr and cos_name among the entities that found it.
+    With a column copies, an entity stands for so many equal ones."""
     # the row with the greatest value is marked by a window without an order, so one sort serves all three columns
     at = Window.partitionBy("part", "b")
     columns = {"p": "p1", "adr": "cos_addr", "nam": "cos_name"}
     own = lambda name: F.struct(columns[name], "a")
+    copies = F.col("copies") if "copies" in pairs.columns else F.lit(1)
     ranked = pairs.withColumns({f"top_{name}": F.max(own(name)).over(at) for name in columns})
 
     def nth(name: str, column: str, n: int):
-        found = F.max(column) if n == 1 else F.max(F.when(own(name) != F.col(f"top_{name}"), F.col(column)))
+        found = F.max(column) if n == 1 else F.max(F.when((own(name) != F.col(f"top_{name}")) | (copies > 1), F.col(column)))
         return F.coalesce(found, F.lit(0.0))
 
     return ranked.groupBy("part", "b").agg(
-        F.count(F.lit(1)).alias("n_s1_j"),
+        F.sum(copies).alias("n_s1_j"),
         nth("p", "p1", 1).alias("first_j"),
         nth("p", "p1", 2).alias("second_j"),
         nth("adr", "cos_addr", 1).alias("a1_j"),
         nth("adr", "cos_addr", 2).alias("a2_j"),
         nth("nam", "cos_name", 1).alias("n1_j"),
         nth("nam", "cos_name", 2).alias("n2_j"),
-        F.count_if(F.col("cos_addr") >= 0.6).alias("n_addr_hi_j"),
+        F.sum(F.when(F.col("cos_addr") >= 0.6, copies).otherwise(0)).alias("n_addr_hi_j"),
     )
 
 
 def group_features(pairs: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """pairs: (part, a, b, rank, p1, is_s2, cos_addr, cos_name, hb, sib, has_ha, cc), all of each entity's. support: (part, a, b,
-    support_max, support_mean). Every window is by (part, a) and more, so one exchange serves them all."""
+    support_max, support_mean). Every window is by (part, a) and more, so one exchange serves them all. With a column copies, an
+    entity stands for so many equal ones, which have the same features."""
     df = pairs.join(by_record(pairs), ["part", "b"])
     at = lambda *more: Window.partitionBy("part", "a", *more)
     order = (F.desc("p1"), "rank", "b")
