@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,34 @@ FEATURES = (*[f[0] for f in STRING_FEATURES], *BLOCK_FEATURES, *IDF_FEATURES, *S
 RECORD_COLUMNS = ("name_lc", "n_core", "n_cmp", "n_full", "n_fc", "n_alias", "n_legal", "a_norm", "a_street", "a_loc", "a_house", "a_nums", "a_ids", "a_state", "a_empty", "is_domain", "is_native", "has_alias")
 
 
+#: Ids that a row of equal records holds at most; shares that the first side's rows are dealt to.
+MOST_IDS, SHARES = 512, 16
+
+
+def equal_rows(records: DataFrame, name: str, fields: Sequence[str], ident: str = "rid") -> DataFrame:
+    """A row for the records of a part with the same fields, or for each MOST_IDS of them: part, <field>_<name>, and <name>s, their ids."""
+    at = Window.partitionBy("part", *fields)
+    df = records.withColumn("n_", F.floor((F.row_number().over(at.orderBy(ident)) - 1) / MOST_IDS))
+    return df.groupBy("part", *fields, "n_").agg(F.collect_list(ident).alias(f"{name}s")).select("part", *[F.col(c).alias(f"{c}_{name}") for c in fields], f"{name}s")
+
+
+def pairs_of_equals(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of rows of a part, of equal_rows named a and b: what depends on the fields alone is worked out once for each and
+    goes to all pairs of their records by each_pair. Rows of the second side go to SHARES of the first one's, so that a
+    part is not one task."""
+    n = SHARES * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("share_", F.pmod(F.xxhash64(*[c for c in left.columns if c != "as"], F.get("as", F.lit(0))), F.lit(SHARES)).cast("int"))
+    right = right.withColumn("share_", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return left.repartition(min(n, 400), "part", "share_").join(right.repartition(min(n, 400), "part", "share_"), ["part", "share_"]).drop("share_")
+
+
+def each_pair(pairs: DataFrame, *found: str | Column) -> DataFrame:
+    """(part, a, b, found...) for each two records of the rows' ids."""
+    df = pairs.select("part", "as", "bs", *found)
+    names = df.columns[3:]
+    return df.select("part", F.explode("as").alias("a"), "bs", *names).select("part", "a", F.explode("bs").alias("b"), *names)
+
+
 def prepared(records: DataFrame, name: str = "business_name") -> DataFrame:
     return records.withColumns({"name_lc": F.lower(F.coalesce(F.col(name), F.lit(""))), "n_fc": F.replace(F.col("n_full"), F.lit(" "), F.lit(""))})
 
@@ -135,6 +165,33 @@ def content_core(pairs: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def with_core_weights(rows: DataFrame, records: DataFrame, name: str) -> DataFrame:
+    """rows (part, n_core_<name>, ...) with core_<name>, the distinct core words and their weights as content_core has them."""
+    core, sizes = F.array_distinct(_listed(F.col("n_core"))), records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
+    counts = records.groupBy("part", "n_core").agg(F.count(F.lit(1)).alias("n")).withColumn("word", F.explode(core))
+    idf = counts.groupBy("part", "word").agg(F.sum("n").alias("df")).join(F.broadcast(sizes), "part").select("part", "word", (F.ln("n_records") - F.ln("df")).alias("weight"))
+    words = counts.select("part", "n_core", "word").join(idf, ["part", "word"]).groupBy("part", "n_core").agg(F.collect_list(F.struct("word", "weight")).alias(f"core_{name}"))
+    none = F.array().cast(words.schema[f"core_{name}"].dataType)
+    words = words.withColumnRenamed("n_core", f"n_core_{name}")
+    return rows.join(words, ["part", f"n_core_{name}"], "left").withColumn(f"core_{name}", F.coalesce(f"core_{name}", none))
+
+
+def core_features(core_a: Column, core_b: Column, loc_a: Column, loc_b: Column) -> dict[str, Column]:
+    """CORE_FEATURES of a pair from its words with weights and the localities; nothing is dealt out by pair."""
+    places = F.array_union(_listed(loc_a), _listed(loc_b))
+    kept = lambda xs: F.filter(xs, lambda x: ~F.array_contains(places, x["word"]))
+    a, b = kept(core_a), kept(core_b)
+    union, both = F.array_union(a, b), F.array_intersect(a, b)
+    weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x["weight"])
+    empty, su = (F.size(a) == 0) | (F.size(b) == 0), weight(union)
+    unknown = lambda c: F.when(empty, F.lit(-1.0)).otherwise(c)
+    return {
+        "cc_jacc": unknown(F.size(both) / F.greatest(F.size(union), F.lit(1))),
+        "cc_disjoint": unknown((F.size(both) == 0).cast("double")),
+        "cc_diff_idf": F.when(empty | (su <= 0), F.lit(-1.0)).otherwise(F.try_divide(weight(F.array_except(union, both)), su)),
+    }
+
+
 def idf_features(found: DataFrame, records: DataFrame) -> DataFrame:
     """Containment and cosine of raw weights over all shared keys, by block."""
     keep = ["part", "side", "rid"]

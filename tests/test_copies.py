@@ -44,3 +44,19 @@ def test_candidates_compare_equal_records_once(spark, copied, monkeypatch, name)
     records = linkage_queries.trader_records(spark, copied).toPandas()
     classes = records.groupby(["part", "side", *retrieve.KEY_FIELDS]).size().groupby(["part", "side"]).size().unstack(fill_value=0)
     assert compared and max(compared) <= (classes[1] * classes[2]).sum()
+
+
+@pytest.mark.parametrize("name", ["feat_sets", "feat_record", "feat_core", "feat_set", "feat_jw", "dec_shapes"])
+def test_features_are_made_once_for_equal_records(spark, copied, monkeypatch, name):
+    """The rows that features are made of hold several pairs each; what comes of them is every pair."""
+    made = []
+
+    def counted(pairs, *found):
+        made.append(pairs.count())
+        return real(pairs, *found)
+
+    module = core if name in ("feat_set", "feat_jw") else linkage_queries
+    real = module.each_pair
+    monkeypatch.setattr(module, "each_pair", counted)
+    assert same(spark, name, copied) == ""
+    assert made and 2 * made[0] <= core.QUERIES[name](spark, copied).count()
