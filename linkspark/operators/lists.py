@@ -6,6 +6,7 @@ blocks of its side, and what leaves a block is wanted: all pairs, each record's
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,17 @@ _VALUES = {
 
 
 def vocabulary(records: DataFrame, max_df: int, min_df: int = 2) -> DataFrame:
-    """(part, key, id, idf, n1, n2) of the words of min_df to max_df records that both sides have; n1, n2: how many of each."""
+    """(part, key, id, n1, n2, n_records) of the words of min_df to max_df records that both sides have; n1, n2: how many of each.
+    Ids are consecutive, and so short."""
     sizes = records.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
     df = records.select("part", "side", F.explode("words").alias("key")).groupBy("part", "key").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("side") == 1).alias("n1"))
     df = df.filter((F.col("n1") > 0) & (F.col("n1") < F.col("df")) & F.col("df").between(min_df, max_df)).join(F.broadcast(sizes), "part")
-    return stored(df.select("part", "key", F.monotonically_increasing_id().alias("id"), F.ln(F.col("n_records") / F.col("df")).alias("idf"), "n1", (F.col("df") - F.col("n1")).alias("n2")), "vocabulary")
+    found = stored(df.select("part", "key", F.monotonically_increasing_id().alias("id"), "n1", (F.col("df") - F.col("n1")).alias("n2"), "n_records"), "vocabulary")
+    task = F.shiftright("id", 33).cast("int")  # such an id is its task's number, then 33 bits of a place in it
+    counts = {r.task: r.n for r in found.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0, *itertools.accumulate(counts.get(k, 0) for k in range(max(counts, default=0) + 1))]
+    place = F.get(F.array(*map(F.lit, before)), task) + F.col("id").bitwiseAND((1 << 33) - 1)
+    return found.withColumn("id", place.cast("int" if before[-1] < 1 << 31 else "bigint"))
 
 
 def compared(records: DataFrame, max_df: int, want: str = "cosines", *, top: int | None = None, digits: int = 6) -> DataFrame:
@@ -44,21 +51,21 @@ def compared(records: DataFrame, max_df: int, want: str = "cosines", *, top: int
 
     cosines: (part, a, b, cos) of all, or of the `top` best of each a in each block (more rows than top: rank them again);
     totals: (part, a, n_pairs, sum_cos, max_cos) by block; shares: (part, a, b, cos, cont_ab, cont_ba, nf_a, nf_b), as pair_stats has them.
-    A word weighs ln(records / records with it). cos is rounded to digits."""
+    A word weighs ln(records / records with it), which a block works out: a list holds two short numbers a word. cos is rounded to digits."""
     words = vocabulary(records, max_df)
-    parts = words.groupBy("part").agg(F.sum("n1").alias("e1"), F.sum("n2").alias("e2"))
+    parts = words.groupBy("part").agg(F.sum("n1").alias("e1"), F.sum("n2").alias("e2"), F.max("n_records").alias("n_records"))
     first = F.greatest(F.ceil(F.sqrt(F.col("e1") / STEP)), F.ceil(F.col("e1") / MOST_FIRST)).cast("int")
-    parts = parts.select("part", first.alias("n_i"), F.ceil(F.col("e2") / MOST_SECOND).cast("int").alias("n_j"))
+    parts = parts.select("part", "n_records", first.alias("n_i"), F.ceil(F.col("e2") / MOST_SECOND).cast("int").alias("n_j"))
     blocks = parts.agg(F.coalesce(F.sum(F.col("n_i") * F.col("n_j")), F.lit(1))).first()[0]
-    known = words.select("part", "key", "id", "idf")
+    known = words.select("part", "key", "id", (F.col("n1") + F.col("n2")).cast("int").alias("df"))
     lists = records.select("part", "side", "rid", F.explode("words").alias("key"))
     lists = lists.join(F.broadcast(known) if words.count() <= MOST_WORDS else known, ["part", "key"])
-    lists = lists.groupBy("part", "side", "rid").agg(F.collect_list("id").alias("ids"), F.collect_list("idf").alias("ws")).join(F.broadcast(parts), "part")
+    lists = lists.groupBy("part", "side", "rid").agg(F.collect_list("id").alias("ids"), F.collect_list("df").alias("dfs")).join(F.broadcast(parts), "part")
     own = lambda n: F.array(F.pmod(F.xxhash64("rid"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     one = F.col("side") == 1
     dealt = lists.withColumn("i", F.explode(F.when(one, own("n_i")).otherwise(every("n_i")))).withColumn("j", F.explode(F.when(one, every("n_j")).otherwise(own("n_j"))))
-    dealt = dealt.select("part", "i", "j", "side", "rid", "ids", "ws").repartition(2 * blocks, "part", "i", "j").sortWithinPartitions("part", "i", "j", "side")
+    dealt = dealt.select("part", "i", "j", "side", "rid", "ids", "dfs", "n_records").repartition(2 * blocks, "part", "i", "j").sortWithinPartitions("part", "i", "j", "side")
     ident = records.schema["rid"].dataType
     fields = [T.StructField("part", records.schema["part"].dataType), T.StructField("a", ident)]
     fields += [T.StructField(n, ident if t is None else T.DoubleType() if t == "double" else T.LongType()) for n, t in _VALUES[want].items()]
@@ -92,9 +99,10 @@ class _Side:
         self.rid = table.column("rid").combine_chunks()
         lists = table.column("ids").combine_chunks()
         self.n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.row = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         self.id = lists.flatten().to_numpy()
-        self.w = table.column("ws").combine_chunks().flatten().to_numpy()
+        records = table.column("n_records")[0].as_py() if len(self.n) else 1
+        self.w = np.log(records / table.column("dfs").combine_chunks().flatten().to_numpy())
         self.sum = np.bincount(self.row, self.w, len(self.n))
         norm = np.sqrt(np.bincount(self.row, self.w * self.w, len(self.n)))
         self.norm = np.where(norm > 0, norm, np.inf)  # weights of a list without length are 0
@@ -111,8 +119,11 @@ def _block(part, held: list[pa.RecordBatch], want: str, top: int | None, digits:
     order = np.argsort(b.id, kind="stable")
     words, starts = np.unique(b.id[order], return_index=True)
     ends = np.append(starts[1:], len(order))
-    rows, weights = b.row[order], b.w[order]
+    rows, weights = b.row[order].astype(np.intp), b.w[order]
+    del order, b.id, b.row, b.w
     unit = weights / b.norm[rows]
+    if want != "shares":
+        del weights
     place = np.minimum(np.searchsorted(words, a.id), len(words) - 1)
     met = words[place] == a.id
     free = bool((a.w == 0).any())  # a shared word may weigh nothing

@@ -51,3 +51,11 @@ def test_blocks_against_a_loop(spark, monkeypatch, small_blocks):
 def test_no_pair_is_dealt_out(spark, name):
     plan = core.QUERIES[name](spark, TINY)._jdf.queryExecution().toString()
     assert "mapInArrow" in plan.replace("MapInArrow", "mapInArrow") and "wa" not in plan
+
+
+def test_words_have_short_consecutive_ids(spark):
+    """What is dealt out is two short numbers a word, for any number of tasks that made the vocabulary."""
+    rows = [("x", 1 + k % 2, k, [f"w{(k + j) % 90}" for j in range(30)]) for k in range(200)]
+    words = lists.vocabulary(spark.createDataFrame(rows, "part string, side int, rid long, words array<string>").repartition(7), 200)
+    assert words.schema["id"].dataType.simpleString() == "int"
+    assert sorted(r.id for r in words.collect()) == list(range(90))
