@@ -172,7 +172,7 @@ def dec_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = document_records(spark, sf_dir)
     best = document_best(spark, sf_dir)
     y = document_truth(records).select("s1", "eid").withColumn("y", F.lit(1))
-    scored = best.join(y, ["s1", "eid"], "left").na.fill(0, ["y"])
+    scored = stored(best.join(y, ["s1", "eid"], "left").na.fill(0, ["y"]), "scored")  # read three times
     return scored.withColumn("q", D.calibrated(F.col("p"), D.fit_isotonic(scored, n_knots=50)))
 
 

@@ -59,3 +59,7 @@ def test_words_have_short_consecutive_ids(spark):
     words = lists.vocabulary(spark.createDataFrame(rows, "part string, side int, rid long, words array<string>").repartition(7), 200)
     assert words.schema["id"].dataType.simpleString() == "int"
     assert sorted(r.id for r in words.collect()) == list(range(90))
+
+
+def test_pairs_are_compared_once_for_an_isotonic_map(spark):
+    assert "mapinarrow" not in core.QUERIES["dec_isotonic_deep"](spark, TINY)._jdf.queryExecution().toString().lower()
