@@ -68,13 +68,14 @@ def best_of_grid(best: DataFrame, entities: DataFrame, truth: DataFrame, grid: S
 GAMMAS, MISSES, FLOORS = (0.8, 1.0, 1.25, 1.5, 2.0), (0.0, 0.1, 0.25), (0.05, 0.2, 0.35)
 
 
-def expected_f_grid(best: DataFrame, entities: DataFrame, truth: DataFrame, *, gammas=GAMMAS, misses=MISSES, floors=FLOORS) -> DataFrame:
+def expected_f_grid(best: DataFrame, entities: DataFrame, truth: DataFrame, *, n_true: DataFrame | None = None, gammas=GAMMAS, misses=MISSES, floors=FLOORS) -> DataFrame:
     """(gamma, missed, floor, f05): the macro F0.5 of the expected-F rule under each setting. The settings are a column: pairs
-    are decided by (setting, entity) in one plan, and entities that predict nothing are counted, not multiplied."""
+    are decided by (setting, entity) in one plan, and entities that predict nothing are counted, not multiplied.
+    n_true: (s1, n_true) of all entities with a match; truth then needs to hold the true ones of best alone."""
     setting = F.array(*[F.struct(F.lit(float(g)).alias("gamma"), F.lit(float(m)).alias("missed"), F.lit(float(x)).alias("floor")) for g, m, x in itertools.product(gammas, misses, floors)])
     names = ("gamma", "missed", "floor")
     true = truth.select("s1", "eid").distinct().join(entities.select("s1").distinct(), "s1", "left_semi")
-    n_true = true.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+    n_true = true.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true")) if n_true is None else n_true.select("s1", "n_true")
     rows = best.select("s1", "eid", "p").join(entities.select("s1").distinct(), "s1", "left_semi").join(true.withColumn("t", F.lit(1)), ["s1", "eid"], "left")
     rows = rows.withColumn("g", F.explode(setting)).select("s1", "eid", "p", "t", "g.*")
     kept = expected_f(rows, floor=F.col("floor"), missed=F.col("missed"), gamma=F.col("gamma"), keys=("s1", *names))
