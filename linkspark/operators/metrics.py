@@ -21,11 +21,14 @@ def macro_f05(truth: Mapping[str, Iterable[str]], predicted: Mapping[str, Iterab
     return sum(entity_f05(t, predicted.get(s, ())) for s, t in truth.items()) / max(len(truth), 1)
 
 
-def entity_scores(entities: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """entities: s1 and more; truth, predicted: (s1, eid), repeats count once. Returns entities with n_true, n_pred, tp, f05."""
+def entity_scores(entities: DataFrame, truth: DataFrame, predicted: DataFrame, n_true: DataFrame | None = None) -> DataFrame:
+    """entities: s1 and more; truth, predicted: (s1, eid), repeats count once. Returns entities with n_true, n_pred, tp, f05.
+    n_true: (s1, n_true) of all entities with a match; truth then needs to hold the true ones of predicted alone."""
     true, pred = truth.select("s1", "eid").distinct(), predicted.select("s1", "eid").distinct()
     both = true.withColumn("t", F.lit(1)).join(pred.withColumn("p", F.lit(1)), ["s1", "eid"], "full")
     counts = both.groupBy("s1").agg(F.count("t").alias("n_true"), F.count("p").alias("n_pred"), F.count(F.col("t") + F.col("p")).alias("tp"))
+    if n_true is not None:
+        counts = counts.drop("n_true").join(n_true.select("s1", "n_true"), "s1", "full")
     out = entities.join(counts, "s1", "left").na.fill(0, ["n_true", "n_pred", "tp"])
     f05 = F.when((F.col("n_true") == 0) & (F.col("n_pred") == 0), 1.0).otherwise(F.coalesce(F.try_divide(1.25 * F.col("tp"), 0.25 * F.col("n_true") + F.col("n_pred")), F.lit(0.0)))
     return out.withColumn("f05", f05)

@@ -62,7 +62,7 @@ def test_features_are_made_once_for_equal_records(spark, copied, monkeypatch, na
     assert made and 2 * made[0] <= core.QUERIES[name](spark, copied).count()
 
 
-@pytest.mark.parametrize("name", ["block_candidate_recall", "dec_grid"])
+@pytest.mark.parametrize("name", ["block_candidate_recall", "dec_grid", "metric_report"])
 def test_true_pairs_of_copies_are_not_multiplied(spark, copied, monkeypatch, name):
     """What is scored has true pairs of classes or of the decided pairs, fewer than there are by record."""
     seen = []
