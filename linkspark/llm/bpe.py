@@ -18,11 +18,14 @@ bounded in bytes for any size of input, and they are emptied when it ends.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +41,8 @@ from linkspark.llm.common import mapped
 MAX_HELD = 48 << 20
 #: Bytes that an entry takes besides its letters.
 ENTRY = 200
-#: UTF-8 bytes of the texts that are encoded together.
-BLOCK_BYTES = 4 << 20
+#: UTF-8 bytes of the texts that are encoded together; by the trie, whose walk shares more prefixes in more words.
+BLOCK_BYTES, TRIE_BYTES = 4 << 20, 8 << 20
 #: White space by Unicode's White_Space property.
 UNICODE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The part of it that is not ASCII.
@@ -75,10 +78,10 @@ class Recent:
     def values(self, words: list[str]) -> list[bytes | None]:
         found = list(map(self.new.get, words))
         if self.old and (again := [k for k, x in enumerate(found) if x is None]):
-            old = self.old
-            for k in again:
-                found[k] = old.get(words[k])
-            self.add({words[k]: found[k] for k in again if found[k] is not None})
+            kept = {k: x for k, x in zip(again, map(self.old.get, [words[k] for k in again]), strict=True) if x is not None}
+            for k, x in kept.items():
+                found[k] = x
+            self.add({words[k]: x for k, x in kept.items()})
         return found
 
     def add(self, entries: dict[str, bytes]) -> None:
@@ -90,6 +93,12 @@ class Recent:
             self.held += size
 
 
+@lru_cache(256)
+def _packed(n: int) -> Callable[..., bytes]:
+    """Packs n numbers as little-endian 32-bit integers."""
+    return struct.Struct(f"<{n}I").pack
+
+
 class Encoded(NamedTuple):
     """Ids of several texts, one after the other, and how many each text has."""
 
@@ -110,6 +119,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder for a tokenizer file with word ends, lower case and dropped white space."""
 
+    block_bytes = TRIE_BYTES
+
     def __init__(self, path: str, max_held: int = MAX_HELD):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
@@ -123,6 +134,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         self.symbols = byte_symbols()
+        self.all_symbols = "".join([*self.symbols[:32], " ", *self.symbols[33:]])
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.token = [""] * (1 + max(*self.vocab.values(), *self.special.values()))
         for t, k in [*self.vocab.items(), *self.special.items()]:
@@ -220,7 +232,7 @@ class WordBpe:
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word (byte symbols) as little-endian 32-bit integers."""
         out: dict[str, bytes] = {}
-        vocab, end, skip, longest = self.vocab, self.end, len(self.end), self.longest
+        vocab, end, skip, longest, follows = self.vocab, self.end, len(self.end), self.longest, self._follows
         last: list[str] = [""]  # by depth, along the path to the word at hand
         before = ""
         for word in sorted(words):
@@ -232,13 +244,25 @@ class WordBpe:
             size = len(word)
             del last[same + 1 :]
             for depth in range(len(last), size):  # the nodes that the word adds to the trie
-                last.append(self._last(word[max(0, depth - longest) : depth], depth, last, ""))
+                # as _last does without an end, in place: most of the time goes here
+                for at in range(depth - longest if depth > longest else 0, depth):
+                    token = word[at:depth]
+                    if token in vocab:
+                        if not at:
+                            if self._is_whole(token):
+                                break
+                        elif (ok := follows.get((last[at], token))) or (ok is None and self._can_follow(last[at], token)):
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+                last.append(token)
             token = self._last(word[max(0, size - longest) :], size, last, end)
             ids, at = [vocab[token]], size - len(token) + skip
             while at:
                 ids.append(vocab[last[at]])
                 at -= len(last[at])
-            out[word] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            out[word] = _packed(len(ids))(*ids)
             before = word
         return out
 
@@ -256,14 +280,14 @@ class WordBpe:
         """A piece without white space, as the words that are encoded by themselves."""
         return [piece] if piece.isalpha() else self.words(piece)
 
-    def _symbols(self, word: str) -> str:
-        if word.isascii() and word.isprintable():
-            return word
-        symbols = self.symbols
-        return "".join([symbols[b] for b in word.encode("utf-8", "surrogatepass")])
+    def _all_symbols(self, spaced: str) -> str:
+        """Of words that are joined by spaces, which stay; in one step for all of them."""
+        if spaced.isascii() and spaced.isprintable():
+            return spaced
+        return codecs.charmap_decode(spaced.encode("utf-8", "surrogatepass"), "strict", self.all_symbols)[0]
 
     def _new_words(self, words: list[str]) -> list[bytes]:
-        spelled = [self._symbols(w) for w in words]
+        spelled = self._all_symbols(" ".join(words)).split(" ")
         found = self.encode_words(set(spelled))
         return [found[w] for w in spelled]
 
@@ -339,6 +363,8 @@ def _looked_up(encoded: Encoded, table: pa.Array) -> pa.Array:
 class LibraryBpe(WordBpe):
     """The same, with the words of new pieces encoded by the library's own model, many in one call."""
 
+    block_bytes = BLOCK_BYTES
+
     def __init__(self, path: str, max_held: int = 2 * MAX_HELD):
         import os
 
@@ -355,13 +381,14 @@ class LibraryBpe(WordBpe):
         rest = [k for k, x in enumerate(found) if x is None]
         if rest:
             new = [pieces[k] for k in rest]
-            split = [[p] if p.isalpha() else self.words(p) for p in new]
-            words = " ".join([w for ws in split for w in ws])
-            if not (words.isascii() and words.isprintable()):
-                words = " ".join([self._symbols(w) for ws in split for w in ws])
+            spaced, counts = new.copy(), np.ones(len(new), np.int64)
+            for k in [k for k, p in enumerate(new) if not p.isalpha()]:
+                words = self.words(new[k])
+                spaced[k], counts[k] = " ".join(words), len(words)
+            words = self._all_symbols(" ".join(spaced))
             ids = np.array(self.library.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
             word_ends = np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])
-            ends = (4 * word_ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]).tolist()
+            ends = (4 * word_ends[np.cumsum(counts)]).tolist()
             raw = ids.tobytes()
             made = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             self._piece.add(dict(zip(new, made, strict=True)))
@@ -390,6 +417,22 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.A
         start, before = end, int(ends[end - 1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, with batches put together while their second column has `size` bytes at most: the more
+    texts are encoded together, the fewer words are met as new ones more than once."""
+    held, total = [], 0
+    for batch in batches:
+        more = batch.column(1).nbytes
+        if held and total + more > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+        if len(batch):
+            held.append(batch)
+            total += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _sha256(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in texts.cast(pa.binary())], pa.string())
 
@@ -415,8 +458,8 @@ def encode(df: DataFrame, tokenizer: str, *columns: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer, kind)
-        for batch in batches:
-            for start, block in blocks(batch.column(1)):
+        for batch in gathered(batches, bpe.block_bytes):
+            for start, block in blocks(batch.column(1), bpe.block_bytes):
                 encoded = bpe.encode_block(block)
                 if end_id is not None:
                     encoded = Encoded(np.insert(encoded.ids, np.cumsum(encoded.counts), end_id), encoded.counts + 1)

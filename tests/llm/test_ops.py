@@ -582,3 +582,22 @@ def test_exact_dedup(spark, odd, empty):
     assert dedup.dedup(empty).count() == 0 and dedup.without_copies(empty).count() == 0
     nameless = spark.createDataFrame([(None, "a b c", "en", "s", 5), (1, "ab c", "en", "s", 4), (2, "abc", "en", "s", 3)], DOC_SCHEMA)
     assert {(r.doc_id, r.keep_id, r.kept) for r in dedup.dedup(nameless).collect()} == {(None, None, True), (1, None, False), (2, None, False)}
+
+
+def test_bytes_of_many_words_are_spelled_in_one_step(library):
+    coder = bpe.coder(tokenizer_path(), bpe.LibraryBpe)
+    words = ["plain", "\u00e9t\u00e9", "\u4e2d\u6587", "a\x00b", "\U0001f600", "\x7f", "\u00a0x"]
+    spelled = "".join(chr(32) + "".join(bpe.byte_symbols()[b] for b in w.encode()) for w in words)[1:]
+    assert coder._all_symbols(" ".join(words)) == spelled
+    texts = [" ".join(words[:k]) + "," * k for k in range(8)]
+    for kind in (bpe.WordBpe, bpe.LibraryBpe):
+        ids = bpe.coder(tokenizer_path(), kind).encode_block(pa.array(texts)).lists().to_pylist()
+        assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_small_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_pydict({"k": [2 * k, 2 * k + 1], "t": ["a" * 50, None if k == 3 else "b" * 50]}) for k in range(10)]
+    got = list(bpe.gathered(iter([batches[0].slice(0, 0), *batches]), 400))
+    assert [k for b in got for k in b.column(0).to_pylist()] == list(range(20)) and 1 < len(got) < 6
+    assert pa.Table.from_batches(got).to_pylist() == pa.Table.from_batches(batches).to_pylist()
+    assert list(bpe.gathered(iter([]))) == [] and len(list(bpe.gathered(iter(batches), 1))) == 10
