@@ -595,6 +595,24 @@ def test_bytes_of_many_words_are_spelled_in_one_step(library):
         assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_library_gets_each_word_of_a_block_once(library):
+    coder, got = bpe.LibraryBpe(tokenizer_path()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **named):
+            got.extend(texts[0].split(" "))
+            return real.encode_batch_fast(texts, **named)
+
+    real, coder.library = coder.library, Counted()
+    texts = ["plain plain, (plain) plain's", "it's 2,2 , 's plain. \u00e9t\u00e9 \u00e9t\u00e9!", "", "plain\x1cplain \u0661\u0661 \u00aa\u00b2 ,,"]
+    for _ in range(2):
+        ids = coder.encode_block(pa.array(texts)).lists().to_pylist()
+        assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(got) == len({*got}) and "plain" in got  # the second time all pieces are known
+    coder.clear()
+    assert not len(coder._known) and not len(coder._flat)
+
+
 def test_small_batches_are_encoded_together():
     batches = [pa.RecordBatch.from_pydict({"k": [2 * k, 2 * k + 1], "t": ["a" * 50, None if k == 3 else "b" * 50]}) for k in range(10)]
     got = list(bpe.gathered(iter([batches[0].slice(0, 0), *batches]), 400))
