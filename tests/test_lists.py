@@ -3,9 +3,12 @@
 import math
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from linkspark.operators import lists
 from linkspark.plans import queries as core
+from oracle import differences
 
 from conftest import TINY
 
@@ -63,3 +66,19 @@ def test_words_have_short_consecutive_ids(spark):
 
 def test_pairs_are_compared_once_for_an_isotonic_map(spark):
     assert "mapinarrow" not in core.QUERIES["dec_isotonic_deep"](spark, TINY)._jdf.queryExecution().toString().lower()
+
+
+def test_shares_keep_words_of_any_number_of_records(spark, tmp_path):
+    """Pairs that only a word of 90 of 100 records links are there, weighed by it; a part whose words are in all its records has shares of 0 / 0."""
+    rows = [("en", f"src{k % 3}", k, f"{'common' if k % 10 else 'scarce'} own{chr(97 + k % 26)}") for k in range(100)]
+    rows += [("fr", f"src{k}", 200 + k, "toujours pareil") for k in range(2)]
+    pd.DataFrame(rows, columns=["lang", "source", "doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = core.feat_idf(spark, str(tmp_path)).toPandas()
+    assert differences(got, con.execute(core.SQL["feat_idf"]).fetchdf()) == ""
+    common = {r[2]: r[1] for r in rows if r[3].startswith("common")}
+    linked = {(a, b) for a, x in common.items() for b, y in common.items() if x == "src0" != y}
+    assert linked <= set(zip(got.a, got.b, strict=True))
+    assert got[got.part == "fr"].cos.isna().all() and (got.part == "fr").sum() == 1
+    assert "BETWEEN" not in core.SQL["feat_idf"]
