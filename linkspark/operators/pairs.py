@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkspark.functions import similarity as S
 from linkspark.functions.lexicons import SIBLING_OFFSETS
@@ -34,6 +38,8 @@ RECORD_COLUMNS = ("name_lc", "n_core", "n_cmp", "n_full", "n_fc", "n_alias", "n_
 
 #: Ids that a row of equal records holds at most; shares that the first side's rows are dealt to.
 MOST_IDS, SHARES = 512, 16
+#: Names and ids of the second side that a name meets at once.
+MOST_NAMES, MOST_MET = 4096, 1 << 16
 
 
 def equal_rows(records: DataFrame, name: str, fields: Sequence[str], ident: str = "rid") -> DataFrame:
@@ -53,6 +59,86 @@ def pairs_of_equals(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.repartition(min(n, 400), "part", "share_").join(right.repartition(min(n, 400), "part", "share_"), ["part", "share_"]).drop("share_")
 
 
+def pairs_of_scores(left: DataFrame, right: DataFrame, name: str, digits: int = 3) -> DataFrame:
+    """(part, as, bs, score) of all pairs of rows of a part, of equal_rows named a and b with the field name: a row for a name of the
+    first side and what it meets at once of the second with the same score, Jaro-Winkler to digits, so that names without equals
+    make few rows too. As in SQL it is of the names' bytes in UTF-8, 0 where either is empty and null where either is. Sides are dealt
+    out as by pairs_of_equals."""
+    n = min(SHARES * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 400)
+    one = left.select("part", F.pmod(F.xxhash64(f"{name}_a", F.get("as", F.lit(0))), F.lit(SHARES)).cast("int").alias("share_"), F.lit(1).alias("side"), F.col(f"{name}_a").alias("name"), F.col("as").alias("ids"))
+    two = right.select("part", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share_"), F.lit(2).alias("side"), F.col(f"{name}_b").alias("name"), F.col("bs").alias("ids"))
+    dealt = one.union(two).filter(F.col("part").isNotNull()).repartition(n, "part", "share_").sortWithinPartitions("part", "share_", F.col("side").desc())
+    fields = [("part", left.schema["part"].dataType), ("as", left.schema["as"].dataType), ("bs", right.schema["bs"].dataType), ("score", T.DoubleType())]
+    return dealt.mapInArrow(lambda batches: _score_rows(batches, digits), T.StructType([T.StructField(*f) for f in fields]))
+
+
+def _score_rows(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.RecordBatch]:
+    """batches: (part, share, side, name, ids), of each part and share side 2 before side 1."""
+    at, held, known = None, [], None
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        start = 0
+        while start < len(keys):
+            end = start + 1
+            while end < len(keys) and keys[end] == keys[start]:
+                end += 1
+            if keys[start][:2] != at:
+                at, held, known = keys[start][:2], [], None
+            rows = batch.slice(start, end - start)
+            if keys[start][2] == 2:
+                held.append(rows)
+            elif held:
+                known = known or _known_names(pa.Table.from_batches(held))
+                for names in known:
+                    yield from _scores(rows, *names, digits)
+            start = end
+
+
+def _bytes(name: str | None) -> str:
+    """A character for each byte."""
+    return (name or "").encode().decode("latin-1")
+
+
+def _known_names(table: pa.Table) -> list[tuple[S.JaroWinklers, np.ndarray, np.ndarray, pa.Array]]:
+    """Of MOST_NAMES rows at most with about MOST_MET ids: their names, which are null, and their numbers of ids and ids."""
+    names, ids = table.column("name").to_pylist(), table.column("ids").combine_chunks()
+    counts = pa.compute.list_value_length(ids).to_numpy()
+    out, start = [], 0
+    while start < len(names):
+        end = start + max(1, min(MOST_NAMES, int(np.searchsorted(np.cumsum(counts[start : start + MOST_NAMES]), MOST_MET, side="right"))))
+        own = names[start:end]
+        out.append((S.JaroWinklers(list(map(_bytes, own))), np.array([x is None for x in own]), counts[start:end], ids.slice(start, end - start)))
+        start = end
+    return out
+
+
+def _scores(rows: pa.RecordBatch, known: S.JaroWinklers, none: np.ndarray, counts: np.ndarray, ids: pa.Array, digits: int) -> Iterator[pa.RecordBatch]:
+    names, mine, scale, width = rows.column("name").to_pylist(), rows.column("ids"), 10**digits, len(counts)
+    single, flat = bool((counts == 1).all()), ids.flatten()
+    step = max(1, MOST_MET // int(counts.sum()))
+    for start in range(0, len(names), step):
+        own = names[start : start + step]
+        key = np.floor(known.scores(list(map(_bytes, own))) * scale + 0.5).astype(np.int64)
+        key[[x == "" for x in own]] = 0
+        key[:, none] = -1
+        key[[x is None for x in own]] = -1
+        key = np.sort(key << 20 | np.arange(width), axis=1)  # by score, then place
+        place, score = (key & ((1 << 20) - 1)).ravel(), (key >> 20).ravel()
+        first = np.append(True, score[1:] != score[:-1])
+        first[::width] = True
+        first = np.flatnonzero(first)
+        ends = np.arange(len(place) + 1) if single else np.append(0, np.cumsum(counts[place]))
+        met = flat.take(pa.array(place)) if single else ids.take(pa.array(place)).flatten()
+        found = score[first]
+        arrays = [
+            rows.column("part").take(pa.array(np.zeros(len(first), np.int64))),
+            mine.take(pa.array(start + first // width)),
+            pa.ListArray.from_arrays(pa.array(np.append(ends[first], ends[-1]).astype(np.int32)), met),
+            pa.array(found / scale, mask=found < 0),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, ["part", "as", "bs", "score"])
+
+
 def each_pair(pairs: DataFrame, *found: str | Column) -> DataFrame:
     """(part, a, b, found...) for each two records of the rows' ids."""
     df = pairs.select("part", "as", "bs", *found)

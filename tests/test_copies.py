@@ -1,6 +1,7 @@
 """Tables whose records are met many times over: results as their SQL has them, and work by distinct record."""
 
 import duckdb
+import pandas as pd
 import pytest
 from linkspark.operators import retrieve
 from linkspark.plans import linkage_queries  # noqa: F401  registers its queries
@@ -79,3 +80,26 @@ def test_true_pairs_of_copies_are_not_multiplied(spark, copied, monkeypatch, nam
     assert same(spark, name, copied) == ""
     every = linkage_queries.trader_truth(spark, copied).count()
     assert seen and 0 < 2 * seen[0] <= every
+
+
+def test_names_without_equals_are_scored_by_block(spark, tmp_path, monkeypatch):
+    """Where no name is met again, a row of what is scored still holds several pairs; odd names have SQL's scores."""
+    odd = [None, "", "Müller é", "muller e", "A" * 70, "ab" * 40, "ß"]
+    for t, x, key, n in (("customer", "c", "custkey", 120), ("supplier", "s", "suppkey", 90)):
+        names = [*[f"{t.title()}#{k:09d}" for k in range(n)], *odd]
+        rows = [(k, None if k == 5 else k % 2, name) for k, name in enumerate(names)]
+        pd.DataFrame(rows, columns=[f"{x}_{key}", f"{x}_nationkey", f"{x}_name"]).astype({f"{x}_nationkey": "Int32"}).to_parquet(tmp_path / f"{t}.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    made = []
+
+    def counted(pairs, *found):
+        made.append(pairs.count())
+        return real(pairs, *found)
+
+    real = core.each_pair
+    monkeypatch.setattr(core, "each_pair", counted)
+    got = core.feat_jw(spark, str(tmp_path)).toPandas()
+    assert differences(got, con.execute(core.SQL["feat_jw"]).fetchdf()) == ""
+    assert 0 < 2 * made[0] <= len(got)
